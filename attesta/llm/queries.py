@@ -43,9 +43,54 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_summary(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
-    for f in (op1_substring_dedup, op2_sharding, op4_packing, op7_token_output)
-}
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_report
+
+    return line_report(table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import language_id
+
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_components
+
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_fm import classify_quality
+
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_ALL = (
+    op1_substring_dedup,
+    op2_sharding,
+    op3_line_dedup,
+    op4_packing,
+    op5_decontamination,
+    op6_quality_rules,
+    op7_token_output,
+    op8_language_id,
+    op9_ngram_join,
+    op10_quality_classifier,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {}
