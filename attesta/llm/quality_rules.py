@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textscan as ts
 from .measures import NAMES, measure
@@ -110,9 +111,7 @@ def _mark(names: list[str]):
 def apply_policy(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The rows of docs that pass a policy, with all their columns."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
-    schema = rows.schema
-    for n in NAMES:
-        schema = schema.add(n, "long")
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(n, T.LongType()) for n in NAMES)])
     marked = rows.mapInArrow(_mark(NAMES), schema).withColumn("failed", failure_bits())
     return marked.filter(kept(policy)).select("row.*")
 
