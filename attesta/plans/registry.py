@@ -6,6 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .views import Tables, with_views
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "Q1_rescore"
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function of Tables as a query; ``sql`` is DuckDB SQL and may name the derived views."""
+
+    def put(make: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        QUERIES[name] = lambda spark, sf_dir: make(Tables(spark, sf_dir))
+        if sql is not None:
+            ORACLE_SQL[name] = with_views(sql)
+        return make
+
+    return put
+
+
+from . import catalogue  # noqa: E402, F401  registers all queries
