@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import doc_key
-from .tokens import encoder
+from .tokens import encoder, groups, little
 
 SEQUENCE = 2048
 END_ID = 1
@@ -89,8 +89,8 @@ def _pieces(path: str, capacity: int, end_id: int):
         encode = encoder(path)
         for batch in batches:
             at, start, length, crc, total = [], [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                raw = memoryview(encode(text or "") + end)
+            for i, ids in enumerate(x for part in groups(batch.column("text").to_pylist()) for x in encode(part)):
+                raw = memoryview(little(ids) + end)
                 n = len(raw) // 4
                 for a in range(0, n, capacity):
                     b = min(n, a + capacity)

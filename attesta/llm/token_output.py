@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import doc_key, place, width
-from .tokens import encoder
+from .tokens import encoder, groups, little
 
 END_ID = 0
 ORC = {
-    "compression": "zstd",
+    "compression": "lz4",
     "orc.stripe.size": str(16 << 20),
     "orc.row.index.stride": "10000",
     "orc.create.index": "true",
@@ -38,28 +38,20 @@ ORC = {
 SCHEMA = "doc_id long, n_tokens long, ids array<int>"
 
 
-def _encode(path: str, end_id: int, limit: int = 4 << 20):
+def _encode(path: str, end_id: int, limit: int = 1_500_000):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
-            raw, first, size = [], 0, 0
-
-            def part(raw: list[bytes], first: int, batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+            first = 0
+            for part in groups(batch.column("text").to_pylist(), limit):
+                raw = [little(ids) + end for ids in encode(part)]
                 counts = np.array([len(x) // 4 for x in raw], np.int64)
                 edges = np.concatenate([[0], counts.cumsum()]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(raw), "<i4")))
-                return pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(raw)), pa.array(counts), ids], ["doc_id", "n_tokens", "ids"])
-
-            for text in batch.column("text").to_pylist():
-                raw.append(encode(text or "") + end)
-                size += len(raw[-1])
-                if size > limit:
-                    yield part(raw, first)
-                    raw, first, size = [], first + len(raw), 0
-            if raw:
-                yield part(raw, first)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(raw)), pa.array(counts), ids], ["doc_id", "n_tokens", "ids"])
+                first += len(raw)
 
     return run
 
