@@ -13,12 +13,15 @@ How sets meet:
    ``surplus`` n-grams within their ordered prefixes of n - ceil(t n) + surplus.
    A class with fewer shared n-grams there has no link and is dropped, by counts
    alone.
-3. The others meet in groups by shared n-gram.  In each of a few rounds every
-   group compares one of its sets with the rest, in a trie of the rest.  Copies
-   of one document, however many, are tied in a round without comparing them
-   with each other, and a group within one component is done.
-4. Groups that hold several components still are joined trie by trie, in blocks
-   of bounded size.
+3. The others meet in groups by shared n-gram. A set's parity sketch (each n-gram
+   flips one bit) bounds the difference of two sets from below, so a group names
+   the pairs that can still link without moving a set: at first only as many as
+   tie the group together, so copies of one document, however many, are compared
+   along a tree and not with each other. Groups with the same members are looked
+   at once, large ones in blocks of bounded size.
+4. Pairs are joined in tries, one for the partners of each set.
+5. Where a group still holds several components, all its pairs across components
+   that the sketches allow are joined in the same way.
 
 The global order needs frequencies, and these come from a sketch of fixed size
 over all documents: it only decides the order, so any error in it costs time and
@@ -48,10 +51,8 @@ from .store import LAST_ID, doc_key, stored, width
 SHINGLE = 3
 THRESHOLD = 90  # per cent
 CELLS = 1 << 16
-LEADER_ROUNDS = 4
-BLOCK = 1500
+BLOCK = 2000
 BROADCAST_IDS = 400_000
-SMALL_PAIRS = 200_000
 
 
 def required(n: int, m: int, threshold: int) -> int:
@@ -150,8 +151,15 @@ def _prefixes(shingle: int, threshold: int, levels: np.ndarray, memory: int = 10
     return run
 
 
+def parity(gram: np.ndarray) -> np.ndarray:
+    """A bit field of about two bits an n-gram; each n-gram flips one."""
+    words = 1 << max(0, (len(gram) - 1) // 64).bit_length()
+    bits = np.bincount((gram & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _whole(shingle: int, levels: np.ndarray):
-    """(print, tokens): the ordered sets."""
+    """(print, tokens, sketch): the ordered sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +168,8 @@ def _whole(shingle: int, levels: np.ndarray):
                 gram, edges = sets(chunk, shingle)
                 prints = _print(gram, edges)
                 tokens = ts.long_lists(_ordered(gram, edges, levels), np.diff(edges))
-                out = pa.RecordBatch.from_arrays([pa.array(prints), tokens], ["print", "tokens"])
+                sketch = pa.array([parity(gram[a:b]) for a, b in pairwise(edges.tolist())], pa.list_(pa.int64()))
+                out = pa.RecordBatch.from_arrays([pa.array(prints), tokens, sketch], ["print", "tokens", "sketch"])
                 yield out.filter(pa.array(prints == wanted[chunk.first : chunk.first + chunk.rows]))
 
     return run
@@ -247,35 +256,59 @@ def _star(threshold: int):
     return run
 
 
-def _blocks(threshold: int):
-    """Join the sets of a pair of blocks: each set of the one searches the trie of the other."""
+def _allowed(n: np.ndarray, m: np.ndarray, threshold: int) -> np.ndarray:
+    """The most n-grams by which linked sets of n and m can differ; negative if none can link."""
+    fits = 100 * np.minimum(n, m) >= threshold * np.maximum(n, m)
+    return np.where(fits, n + m - 2 * (-(-threshold * (n + m) // (100 + threshold))), -1)
+
+
+def possible(n: np.ndarray, sketches: list[np.ndarray], threshold: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a member of ``left`` and a member of ``right`` (flags) whose sizes and sketches allow a link."""
+    width = np.array([len(x) for x in sketches])
+    a, b = [], []
+    for w in np.unique(width):
+        own = np.flatnonzero((width == w) | (width == 2 * w))
+        folded = np.array([sketches[i] if width[i] == w else sketches[i][:w] ^ sketches[i][w:] for i in own])
+        at = np.flatnonzero(right[own])
+        for k, i in enumerate(own):
+            if left[i] and len(at):
+                with_it = at if width[i] == w else at[width[own[at]] == w]
+                gap = np.bitwise_count((folded[with_it] ^ folded[k]).view(np.uint64)).sum(1, dtype=np.int64)
+                near = own[with_it[gap <= _allowed(n[i], n[own[with_it]], threshold)]]
+                a.append(np.full(len(near), i))
+                b.append(near)
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+
+
+def _pairs(threshold: int, all_of_them: bool):
+    """Pairs (leader, print) of a group or a pair of blocks that may tie its components: a forest of them, or all."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        batch = table.to_batches()[0]
-        own, side, label = batch.column("print").to_numpy(), batch.column("side").to_numpy(), batch.column("component").to_numpy()
-        paths = _lists(batch, "tokens")
-        parent = {x: x for x in label.tolist()}
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        stored_ids = np.flatnonzero(side != 1).tolist()
-        queries = np.flatnonzero(side != 0).tolist()
-        a, b = [], []
-        if stored_ids and queries:
-            trie = Trie([paths[i] for i in stored_ids], threshold)
-            for q in queries:
-                mine = int(label[q])
-                for k in trie.search(paths[q], lambda below, mine=mine: all(find(int(label[stored_ids[i]])) == find(mine) for i in below)):
-                    other = int(label[stored_ids[k]])
-                    if find(other) != find(mine):
-                        parent[max(find(other), find(mine))] = min(find(other), find(mine))
-                        a.append(own[q])
-                        b.append(own[stored_ids[k]])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        batch = table.combine_chunks().to_batches()[0]
+        own, side, label, n = (batch.column(c).to_numpy() for c in ("print", "side", "component", "n"))
+        i, j = possible(n, _lists(batch, "sketch"), threshold, side != 1, side != 0)
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        across = label[i] != label[j]
+        i, j = i[across], j[across]
+        if all_of_them:
+            order = np.unique(i * len(own) + j)
+            i, j = order // len(own), order % len(own)
+        else:
+            parent = {x: x for x in label.tolist()}
+
+            def find(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            keep = []
+            for k, (x, y) in enumerate(zip(label[i].tolist(), label[j].tolist(), strict=True)):
+                x, y = find(x), find(y)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    keep.append(k)
+            i, j = i[keep], j[keep]
+        return pa.table({"leader": pa.array(np.minimum(own[i], own[j])), "print": pa.array(np.maximum(own[i], own[j]))})
 
     return run
 
@@ -290,46 +323,45 @@ def _open_groups(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.withColumn("lo", F.min("component").over(group)).withColumn("hi", F.max("component").over(group)).filter("lo < hi").drop("lo", "hi")
 
 
+def _candidates(groups: DataFrame, whole: DataFrame, threshold: int, all_of_them: bool) -> DataFrame:
+    """Distinct pairs (leader, print) that the groups name."""
+    who = groups.groupBy("token").agg(F.count("*").alias("c"), F.sum(F.xxhash64("print") % (1 << 40)).alias("who"))
+    once = groups.join(who.groupBy("c", "who").agg(F.min("token").alias("token")), "token")
+    cells = once.withColumn("cells", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("print"), F.col("cells")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other")
+    dealt = cells.select("token", "print", "n", "component", "own", other).select(
+        "token",
+        F.least("own", "other").alias("i"),
+        F.greatest("own", "other").alias("j"),
+        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
+        "print",
+        "n",
+        "component",
+    )
+    found = dealt.join(whole.select("print", "sketch"), "print").groupBy("token", "i", "j").applyInArrow(_pairs(threshold, all_of_them), "leader long, print long")
+    return stored(found.distinct(), "pairs")
+
+
+def _verified(pairs: DataFrame, whole: DataFrame, threshold: int) -> DataFrame:
+    """The pairs that link."""
+    partners = pairs.join(whole.select("print", "tokens"), "print").select("leader", "print", "tokens")
+    leaders = whole.select(F.col("print").alias("leader"), F.col("tokens").alias("leader_tokens"))
+    rows = partners.join(leaders, "leader").select("leader", "print", "leader_tokens", "tokens")
+    return stored(rows.mapInArrow(_star(threshold), "a long, b long"), "links")
+
+
 def _linked(members: DataFrame, whole: DataFrame, threshold: int) -> DataFrame | None:
-    """Links that tie every component of classes together: (node, component), or None without links."""
-    spark = members.sparkSession
-    links, labels = None, None
-    n = width(spark)
-    for turn in range(LEADER_ROUNDS + 1):
-        groups = stored(_open_groups(members, labels), "groups")
-        count = groups.groupBy("token").agg(F.count("*").alias("c"), F.sum(F.xxhash64("print") % (1 << 40)).alias("who"))
-        total = count.agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs")).first()["pairs"]
-        if not total:
-            return labels
-        if turn < LEADER_ROUNDS and total > SMALL_PAIRS or not turn:
-            rank = F.struct(F.xxhash64("print", F.lit(turn)).alias("rank"), "print", "n", "component")
-            led = groups.withColumn("first", F.min(rank).over(Window.partitionBy("token")))
-            fits = (100 * F.least("n", "first.n") >= threshold * F.greatest("n", "first.n")) & (F.col("component") != F.col("first.component"))
-            pairs = led.filter(fits).select(F.col("first.print").alias("leader"), "print").distinct()
-            partners = pairs.join(whole, "print").select("leader", "print", "tokens")
-            leaders = whole.select(F.col("print").alias("leader"), F.col("tokens").alias("leader_tokens"))
-            new = partners.join(leaders, "leader").select("leader", "print", "leader_tokens", "tokens").mapInArrow(_star(threshold), "a long, b long")
-        else:
-            # Groups with the same members need to be joined once.
-            once = groups.join(count.groupBy("c", "who").agg(F.min("token").alias("token")), "token")
-            rank = F.row_number().over(Window.partitionBy("token").orderBy("print"))
-            cells = once.withColumn("cells", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("own", F.pmod(rank, F.col("cells")))
-            other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other")
-            dealt = cells.select("token", "print", "component", "own", other).select(
-                "token",
-                F.least("own", "other").alias("i"),
-                F.greatest("own", "other").alias("j"),
-                F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-                "print",
-                "component",
-            )
-            new = dealt.join(whole, "print").groupBy("token", "i", "j").applyInArrow(_blocks(threshold), "a long, b long")
-        new = stored(new, "links")
-        links = new if links is None else links.unionByName(new)
-        if turn == LEADER_ROUNDS or total <= SMALL_PAIRS and turn:
-            return components(links)
-        labels = components(links)
-    return labels
+    """(node, component) of the classes that links tie, or None without links."""
+    groups = _open_groups(members, None)
+    links = _verified(_candidates(groups, whole, threshold, False), whole, threshold)
+    if links.isEmpty():
+        first = None
+    else:
+        first = components(links)
+    rest = _verified(_candidates(_open_groups(members, first), whole, threshold, True), whole, threshold)
+    if rest.isEmpty():
+        return first
+    return components(links.unionByName(rest))
 
 
 def _levels(outline: DataFrame) -> np.ndarray:
@@ -366,7 +398,7 @@ def _classes(spark: SparkSession, outline: DataFrame, texts: DataFrame, shingle:
     ids = alive.select("key", "print")
     # Ids of at most BROADCAST_IDS documents go to all executors; more are joined by a shuffle.
     picked = texts.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "key").select("print", "text")
-    whole = stored(picked.mapInArrow(_whole(shingle, levels), "print long, tokens array<long>").dropDuplicates(["print"]), "sets")
+    whole = stored(picked.mapInArrow(_whole(shingle, levels), "print long, tokens array<long>, sketch array<long>").dropDuplicates(["print"]), "sets")
     return _linked(members, whole, threshold)
 
 
