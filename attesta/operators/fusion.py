@@ -201,7 +201,13 @@ def case_findings(found: DataFrame) -> DataFrame:
     )
 
 
+def settled(value: Column) -> Column:
+    """A sum without the noise of its order, for comparing with thresholds."""
+    return F.round(value, 9)
+
+
 def band_of(score: Column, bands: R.Bands) -> Column:
+    score = settled(score)
     return F.when(score < bands.green, "GREEN").when(score < bands.amber, "AMBER").otherwise("RED")
 
 
@@ -215,7 +221,7 @@ def verdict_columns(rules: R.RuleSet) -> dict[str, Column]:
     all_items = F.coalesce("findings", F.array().cast("array<struct<anchor:string,severity:double,trust_class:string,weight:double>>"))
     suppressed = lambda f: (f["trust_class"] == "probabilistic") & F.array_contains("confirmed", f["anchor"])
     kept = F.when(F.col("crypto_clean"), F.filter(all_items, lambda f: ~suppressed(f))).otherwise(all_items)
-    low = F.col("coverage") < rules.bands.floor
+    low = settled(F.col("coverage")) < rules.bands.floor
     plain, final = weighted_score(all_items, F.col("ran")), weighted_score(kept, F.col("ran"))
     score = F.when(F.col("hard"), F.lit(1.0)).when(low, plain).otherwise(final)
     return {

@@ -1,3 +1,4 @@
 """Imports every module that registers queries."""
 
 from . import q_fusion  # noqa: F401
+from . import q_checks  # noqa: F401

@@ -75,9 +75,9 @@ parts{tag} AS (SELECT f.case_id, sum(f.severity * f.weight) AS plain, count(*) A
 scored{tag} AS (SELECT a.*, CASE WHEN total > 0 THEN ran / total ELSE 0 END AS coverage, coalesce(n_all, 0) AS n_all, coalesce(n_kept, 0) AS n_kept,
   CASE WHEN ran > 0 THEN least(1, greatest(0, coalesce(plain, 0) / ran)) ELSE 0 END AS s_plain, CASE WHEN ran > 0 THEN least(1, greatest(0, coalesce(kept, 0) / ran)) ELSE 0 END AS s_kept
   FROM facts{tag} a LEFT JOIN parts{tag} USING (case_id)),
-verdicts{tag} AS (SELECT case_id, doc_type, CASE WHEN hard THEN 'RED' WHEN coverage < {b.floor} THEN 'AMBER' WHEN s_kept < {b.green} THEN 'GREEN' WHEN s_kept < {b.amber} THEN 'AMBER' ELSE 'RED' END AS band,
-  CAST(CASE WHEN hard THEN 1 WHEN coverage < {b.floor} THEN s_plain ELSE s_kept END AS DOUBLE) AS score, CAST(coverage AS DOUBLE) AS coverage,
-  CASE WHEN hard THEN hard_reason WHEN coverage < {b.floor} THEN '{R.LOW_COVERAGE}' END AS reason, CAST(CASE WHEN hard OR coverage < {b.floor} THEN n_all ELSE n_kept END AS INTEGER) AS n_findings, hard FROM scored{tag})"""
+verdicts{tag} AS (SELECT case_id, doc_type, CASE WHEN hard THEN 'RED' WHEN round(coverage, 9) < {b.floor} THEN 'AMBER' WHEN round(s_kept, 9) < {b.green} THEN 'GREEN' WHEN round(s_kept, 9) < {b.amber} THEN 'AMBER' ELSE 'RED' END AS band,
+  CAST(CASE WHEN hard THEN 1 WHEN round(coverage, 9) < {b.floor} THEN s_plain ELSE s_kept END AS DOUBLE) AS score, CAST(coverage AS DOUBLE) AS coverage,
+  CASE WHEN hard THEN hard_reason WHEN round(coverage, 9) < {b.floor} THEN '{R.LOW_COVERAGE}' END AS reason, CAST(CASE WHEN hard OR round(coverage, 9) < {b.floor} THEN n_all ELSE n_kept END AS INTEGER) AS n_findings, hard FROM scored{tag})"""
 
 
 _VERDICT_COLUMNS = "case_id, doc_type, band, round(score + 1e-9, 6) AS score, round(coverage + 1e-9, 6) AS coverage, reason, n_findings"
