@@ -14,9 +14,11 @@ earliest of them answers for all, and that is a minimum, combined before it is
 shuffled, so a template that a third of all lines follow is no larger work than
 any other.
 
-Equal lines count once.  And before a line emits anything, it must share its
-first or its last half with another line (one edit leaves one half as it was),
-which holds for few lines; the text of the others isn't read again.
+Equal lines count once.  And a line leaves out only words that can matter: it
+must first share its first or its last half with another line (one edit leaves
+one half as it was), which holds for few lines, and the text of the others isn't
+read again; then all but one of its four segments, and only words of that
+segment are left out.
 
 Each line that a near line removes is verified against it, word by word.
 
@@ -41,6 +43,7 @@ from . import textscan as ts
 from .store import doc_key, stored
 
 MIN_WORDS = 8
+SEGMENTS = 4
 BROADCAST_DOCS = 300_000
 FIRST, LAST, SAME_PLACE, LEFT_OUT = (np.uint64(x) for x in (0x51ED270B, 0x2545F491, 0x9E3779B1, 0x85EBCA6B))
 
@@ -91,16 +94,44 @@ def _lines(min_words: int):
     return run
 
 
-def neighbourhood(words: np.ndarray, whole: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of a line and the side each stands on: 0 the line itself, 1 with a word left out, 2 the same with its place."""
+def cuts(m: int) -> list[int]:
+    """Where the segments of a line of m words begin, and m."""
+    return [i * m // SEGMENTS for i in range(SEGMENTS + 1)]
+
+
+def signatures(words: np.ndarray) -> np.ndarray:
+    """Keys of all but one segment, for each segment and partners as in _halves(); bit i stands for the i-th key."""
+    n, a, b, tag = len(words), [], [], []
+    for m in (n - 1, n):
+        at = cuts(m)
+        for i in range(SEGMENTS):
+            a += [0, n - m + at[i + 1]]
+            b += [at[i], n]
+            tag.append(m * SEGMENTS + i)
+    parts = ts.range_hash(words, np.array(a), np.array(b))
+    return ts.mix(parts[::2] * FIRST ^ ts.mix(parts[1::2] + LAST) ^ ts.mix(np.array(tag, np.uint64) * SAME_PLACE + LEFT_OUT)).view(np.int64)
+
+
+def neighbourhood(words: np.ndarray, whole: int, bits: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a line and the side each stands on: 0 the line itself, 1 with a word left out, 2 the same with its place.
+
+    Words are left out in the segments that ``bits`` marks: the first SEGMENTS bits for side 1, the next for side 2.
+    """
     n = len(words)
     up, down = ts._Tables.get(n + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[:n])])
     rest = total[:-1] + (total[-1] - total[1:]) * down[1]  # what follows moves one place up
     rest = ts.mix(rest + np.uint64((n - 1) * 0xC2B2AE3D27D4EB4F % 2**64))
     place = np.arange(n, dtype=np.uint64) * LEFT_OUT + np.uint64(n)
-    keys = np.concatenate([np.array([whole], np.int64).view(np.uint64), rest, ts.mix(rest ^ ts.mix(place * SAME_PLACE + LEFT_OUT))])
-    return keys.view(np.int64), np.repeat(np.array([0, 1, 2], np.int8), [1, n, n])
+    out, same = np.zeros(n, bool), np.zeros(n, bool)
+    shorter, own = cuts(n - 1), cuts(n)
+    for i in range(SEGMENTS):
+        if bits >> i & 1:
+            out[shorter[i] : shorter[i + 1] + 1] = True
+        if bits >> SEGMENTS + i & 1:
+            same[own[i] : own[i + 1]] = True
+    keys = np.concatenate([np.array([whole], np.int64).view(np.uint64), rest[out], ts.mix(rest ^ ts.mix(place * SAME_PLACE + LEFT_OUT))[same]])
+    return keys.view(np.int64), np.repeat(np.array([0, 1, 2], np.int8), [1, int(out.sum()), int(same.sum())])
 
 
 def _candidates():
@@ -130,11 +161,24 @@ def _candidates():
     return run
 
 
+def _word_lists(batch: pa.RecordBatch, name: str = "words") -> list[np.ndarray]:
+    column = batch.column(name)
+    values = column.values.to_numpy()
+    return [values[a:b] for a, b in pairwise(column.offsets.to_numpy().tolist())]
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [signatures(w.view(np.uint64)) for w in _word_lists(batch)]
+        if found:
+            bits = np.tile(np.arange(2 * SEGMENTS, dtype=np.int32), len(found))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(batch.column("print").to_numpy(), 2 * SEGMENTS)), pa.array(1 << bits)], ["signature", "print", "bit"])
+
+
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints, words = batch.column("print").to_numpy(), batch.column("words")
-        values, edges = words.values.to_numpy().view(np.uint64), words.offsets.to_numpy()
-        found = [neighbourhood(values[a:b], int(p)) for (a, b), p in zip(pairwise(edges.tolist()), prints, strict=True)]
+        prints, bits = batch.column("print").to_pylist(), batch.column("bits").to_pylist()
+        found = [neighbourhood(w.view(np.uint64), p, b) for w, p, b in zip(_word_lists(batch), prints, bits, strict=True)]
         if not found:
             continue
         times = pa.array(np.repeat(np.arange(len(found)), [len(k) for k, _ in found]))
@@ -159,12 +203,7 @@ def within_one_edit(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sides = []
-        for name in ("words", "witness_words"):
-            column = batch.column(name)
-            values = column.values.to_numpy()
-            sides.append([values[a:b] for a, b in pairwise(column.offsets.to_numpy().tolist())])
-        good = [within_one_edit(a, b) for a, b in zip(*sides, strict=True)]
+        good = [within_one_edit(a, b) for a, b in zip(_word_lists(batch), _word_lists(batch, "witness_words"), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("print")], ["print"]).filter(pa.array(good, pa.bool_()))
 
 
@@ -178,8 +217,8 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     halves = kinds.filter("size(halves) > 0").select("print", F.explode("halves").alias("half"))
     met = halves.groupBy("half").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).filter("lo < hi").select("half")
-    near = halves.join(met, "half", "left_semi").select("print").distinct()
-    wanted = kinds.join(near, "print", "left_semi").groupBy("first.key").agg(F.collect_list(F.struct("first.line", "print")).alias("wanted"))
+    half_met = halves.join(met, "half", "left_semi").select("print").distinct()
+    wanted = kinds.join(half_met, "print", "left_semi").groupBy("first.key").agg(F.collect_list(F.struct("first.line", "print")).alias("wanted"))
     wanted = stored(wanted, "wanted")
     # Line numbers of at most BROADCAST_DOCS documents go to all executors; more are joined by a shuffle.
     few = wanted.count() <= BROADCAST_DOCS
@@ -187,7 +226,11 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # Rows that repeat a doc_id may hold the same line: it counts once.
     candidates = stored(candidates.mapInArrow(_candidates(), "print long, key long, line int, words array<long>").dropDuplicates(["print"]), "candidates")
 
-    variants = candidates.mapInArrow(_variants, "variant long, side byte, print long, key long, line int")
+    signed = candidates.select("print", "words").mapInArrow(_signatures, "signature long, print long, bit int")
+    met = signed.groupBy("signature").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).filter("lo < hi").select("signature")
+    bits = signed.join(met, "signature", "left_semi").groupBy("print").agg(F.bit_or("bit").alias("bits"))
+    near = stored(candidates.join(bits, "print"), "near")
+    variants = near.mapInArrow(_variants, "variant long, side byte, print long, key long, line int")
     own = F.struct("key", "line", "print")
     least = (
         variants.groupBy("variant")
@@ -204,8 +247,8 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .agg(F.min("witness").alias("witness"))
         .select("print", F.col("witness.print").alias("other"))
     )
-    other = candidates.select(F.col("print").alias("other"), F.col("words").alias("witness_words"))
-    edited = pairs.join(candidates.select("print", "words"), "print").join(other, "other").select("print", "words", "witness_words").mapInArrow(_verify, "print long")
+    other = near.select(F.col("print").alias("other"), F.col("words").alias("witness_words"))
+    edited = pairs.join(near.select("print", "words"), "print").join(other, "other").select("print", "words", "witness_words").mapInArrow(_verify, "print long")
     edited = stored(edited.withColumn("edited", F.lit(True)), "edited")
 
     ruled = kinds.join(edited, "print", "left").filter("n > 1 or edited").select("print", "first", "edited")
