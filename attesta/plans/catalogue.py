@@ -2,3 +2,4 @@
 
 from . import q_fusion  # noqa: F401
 from . import q_checks  # noqa: F401
+from . import q_joins  # noqa: F401
