@@ -4,3 +4,4 @@ from . import q_fusion  # noqa: F401
 from . import q_checks  # noqa: F401
 from . import q_joins  # noqa: F401
 from . import q_stats  # noqa: F401
+from . import q_etl  # noqa: F401

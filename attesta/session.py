@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -19,3 +21,16 @@ def share_code(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; where spark.checkpoint.dir is unset (one machine) a temporary one is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = f"file://{tempfile.mkdtemp(prefix='attesta-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def new_place(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/attesta/{name}-{uuid.uuid4().hex}"
