@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from attesta.session import share_code
 
+from .store import small_batches
+
 BPE = "byte_bpe_50k.json"
 
 
@@ -18,7 +20,8 @@ def tokenizer_path(name: str = BPE) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return share_code(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    small_batches(share_code(spark))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

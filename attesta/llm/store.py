@@ -26,8 +26,16 @@ def place(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/attesta/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let Python workers get at most ``rows`` texts at a time, as texts may be long."""
+    have = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if have <= 0 or have > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: later jobs start from there, and a lost executor costs only its own tasks."""
+    small_batches(df.sparkSession)
     path = place(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

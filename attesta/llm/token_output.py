@@ -38,7 +38,7 @@ ORC = {
 SCHEMA = "doc_id long, n_tokens long, ids array<int>"
 
 
-def _encode(path: str, end_id: int, limit: int = 1_500_000):
+def _encode(path: str, end_id: int, limit: int = 600_000):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,6 +16,7 @@ import re
 import sys
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -47,10 +48,7 @@ class Encoder:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
+        self.path = path
         self.classes = _classes()
         self.rare = re.compile(f"[^\\u0000-\\u{PLAIN_BELOW - 1:04x}]")
         self.values = ts.mix(np.arange(PLAIN_BELOW, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -63,6 +61,17 @@ class Encoder:
         self.size = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
+    @cached_property
+    def tokenizer(self):
+        """The tokenizer as it is in the file; loaded for the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.encode_special_tokens = True
+        out.no_padding()
+        out.no_truncation()
+        return out
+
     def whole(self, texts: list[str]) -> list[array]:
         return [array("I", x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -150,7 +159,7 @@ def little(ids: np.ndarray) -> bytes:
     return (ids if sys.byteorder == "little" else ids.byteswap()).tobytes()
 
 
-def groups(texts: list[str | None], limit: int = 1_500_000) -> Iterator[list[str]]:
+def groups(texts: list[str | None], limit: int = 600_000) -> Iterator[list[str]]:
     """Consecutive texts, about ``limit`` characters at a time; null is empty."""
     held, size = [], 0
     for text in texts:
