@@ -5,3 +5,4 @@ from . import q_checks  # noqa: F401
 from . import q_joins  # noqa: F401
 from . import q_stats  # noqa: F401
 from . import q_etl  # noqa: F401
+from . import q_more  # noqa: F401

@@ -19,7 +19,7 @@ def plain(x):
     if isinstance(x, decimal.Decimal):
         x = float(x)
     if isinstance(x, float):
-        return "nan" if math.isnan(x) else f"{x:.9g}"
+        return "nan" if math.isnan(x) else repr(x + 0.0)
     if isinstance(x, (list, tuple)):
         return "[" + ",".join(map(plain, x)) + "]"
     if hasattr(x, "isoformat"):
