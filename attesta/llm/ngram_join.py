@@ -69,14 +69,22 @@ def sets(chunk: ts.Chunk, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     if len(short):
         whole = ts.mix(ts.range_hash(hashes, chunk.edges[short], chunk.edges[short + 1]) + np.uint64(shingle))
         row, gram = np.append(row, short), np.append(gram, whole)
-    order = np.lexsort((gram, row))
-    row, gram = row[order], gram[order]
+        order = np.argsort(row, kind="stable")
+        row, gram = row[order], gram[order]
+    sort_rows(gram, np.searchsorted(row, np.arange(chunk.rows + 1)))
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
     row, gram = row[new], gram[new]
     return gram, np.searchsorted(row, np.arange(chunk.rows + 1))
 
 
+def sort_rows(values: np.ndarray, edges: np.ndarray) -> None:
+    """Sort the values of each row in place: many short sorts, as rows lie together already."""
+    for a, b in pairwise(edges.tolist()):
+        if b - a > 1:
+            values[a:b].sort()
+
+
 def _print(gram: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return ts.range_hash(gram, edges[:-1], edges[1:]).view(np.int64)
 
@@ -118,8 +126,9 @@ def order_levels(counts: np.ndarray) -> np.ndarray:
 def _ordered(gram: np.ndarray, edges: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """The n-grams as longs whose natural order is the global order, sorted within each row."""
     key = levels[(gram >> np.uint64(48)).astype(np.int64)] << np.uint64(59) | gram >> np.uint64(5)
-    row = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
-    return key[np.lexsort((key, row))].view(np.int64)
+    if levels.any():
+        sort_rows(key, edges)
+    return key.view(np.int64)
 
 
 def surplus(n: np.ndarray | int, threshold: int) -> np.ndarray | int:
