@@ -128,17 +128,21 @@ def clamp(value: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), value))
 
 
-def prepared(signals: DataFrame, rules: R.RuleSet = R.DEFAULT) -> DataFrame:
-    """Signals with weight, reliability, trust rank and hard-fail flag, under the one partitioning that all later steps use."""
+def rated(signals: DataFrame, rules: R.RuleSet = R.DEFAULT) -> DataFrame:
+    """Signals with weight, reliability, trust rank and hard-fail flag."""
     return (
         signals.withColumn("weight", weight_of(rules))
         .withColumn("rel", reliability_of(rules))
         .withColumn("rank", trust_rank())
         .withColumn("hard", (F.col("verdict") == "fail") & (F.col("hard_fail") | is_hard(rules)))
-        .repartition("case_id")
     )
 
 
+def prepared(signals: DataFrame, rules: R.RuleSet = R.DEFAULT) -> DataFrame:
+    """Rated signals under the one partitioning that all later steps use."""
+    return rated(signals, rules).repartition("case_id")
+
+
 def findings(ready: DataFrame) -> DataFrame:
     """One finding per case and anchor: severity (noisy-or of failures), trust class, headline, supporters, weight."""
     fail = F.col("verdict") == "fail"
@@ -174,12 +178,17 @@ def findings(ready: DataFrame) -> DataFrame:
     )
 
 
+def confirming() -> Column:
+    """A pass that compares a field with a signature."""
+    named = F.startswith("id", F.lit(R.CONFIRMING[0])) | F.startswith("id", F.lit(R.CONFIRMING[1]))
+    return (F.col("verdict") == "pass") & F.startswith("anchor", F.lit("field:")) & named
+
+
 def case_facts(ready: DataFrame) -> DataFrame:
     """Per case: coverage, weight that ran, hard fail with reason, and confirmed fields."""
     w, verdict = F.col("weight"), F.col("verdict")
     applicable, ran = verdict != "not_applicable", verdict.isin("pass", "fail")
     zero = F.lit(0.0)
-    confirming = (verdict == "pass") & F.startswith("anchor", F.lit("field:")) & (F.startswith("id", F.lit(R.CONFIRMING[0])) | F.startswith("id", F.lit(R.CONFIRMING[1])))
     total = F.sum(F.when(applicable, w).otherwise(zero))
     done = F.sum(F.when(ran, w).otherwise(zero))
     return ready.groupBy("case_id").agg(
@@ -188,16 +197,7 @@ def case_facts(ready: DataFrame) -> DataFrame:
         done.alias("ran"),
         F.bool_or("hard").alias("hard"),
         F.min_by(F.when(F.col("hard"), F.col("evidence")), F.when(F.col("hard"), F.col("seq"))).alias("hard_reason"),
-        F.collect_set(F.when(confirming, F.col("anchor"))).alias("confirmed"),
-    )
-
-
-def case_findings(found: DataFrame) -> DataFrame:
-    """Findings gathered per case, and whether the cryptographic ones are clean."""
-    crypto = F.col("trust_class") == "cryptographic"
-    return found.groupBy("case_id").agg(
-        F.collect_list(F.struct("anchor", "severity", "trust_class", "weight")).alias("findings"),
-        (F.coalesce(F.bool_or(crypto), F.lit(False)) & (F.coalesce(F.max(F.when(crypto, F.col("severity"))), F.lit(1.0)) <= 0)).alias("crypto_clean"),
+        F.collect_set(F.when(confirming(), F.col("anchor"))).alias("confirmed"),
     )
 
 
@@ -234,8 +234,49 @@ def verdict_columns(rules: R.RuleSet) -> dict[str, Column]:
 
 
 def joined(signals: DataFrame, rules: R.RuleSet = R.DEFAULT) -> DataFrame:
-    ready = prepared(signals, rules)
-    return case_facts(ready).join(case_findings(findings(ready)), "case_id", "left")
+    """Per case what a verdict needs: facts and findings from one scan and one shuffle, without a join.
+
+    The facts of a case are sums, minima and disjunctions over its anchors, so they
+    ride along while signals are grouped by anchor.
+    """
+    fail, applicable, zero = F.col("verdict") == "fail", F.col("verdict") != "not_applicable", F.lit(0.0)
+    w = F.col("weight")
+    slim = rated(signals, rules).select(
+        "case_id",
+        "anchor",
+        "doc_type",
+        F.when(fail, 1 - clamp(F.col("confidence")) * F.col("rel")).otherwise(F.lit(1.0)).alias("left"),
+        F.when(fail, F.col("rank")).alias("fail_rank"),
+        F.when(applicable, F.col("rank")).alias("rank"),
+        F.when(fail, w).otherwise(zero).alias("weight"),
+        F.when(applicable, w).otherwise(zero).alias("total"),
+        F.when(F.col("verdict").isin("pass", "fail"), w).otherwise(zero).alias("ran"),
+        F.when(F.col("hard"), F.struct("seq", "evidence")).alias("hard_at"),  # the only text that is shuffled
+        confirming().alias("confirmed"),
+    )
+    per_anchor = slim.repartition("case_id").groupBy("case_id", "doc_type", "anchor").agg(
+        (1 - F.product("left")).alias("severity"),
+        F.coalesce(F.min("fail_rank"), F.min("rank")).alias("rank"),
+        F.sum("weight").alias("weight"),
+        F.count("rank").alias("n"),
+        F.sum("total").alias("total"),
+        F.sum("ran").alias("ran"),
+        F.min("hard_at").alias("hard_at"),
+        F.bool_or("confirmed").alias("confirmed"),
+    )
+    crypto = (F.col("rank") == 0) & (F.col("n") > 0)
+    found = F.struct("anchor", "severity", trust_name(F.col("rank")).alias("trust_class"), "weight")
+    total, ran = F.sum("total"), F.sum("ran")
+    return per_anchor.groupBy("case_id").agg(
+        F.first("doc_type").alias("doc_type"),
+        F.when(total > 0, ran / F.when(total > 0, total)).otherwise(zero).alias("coverage"),
+        ran.alias("ran"),
+        F.min("hard_at").isNotNull().alias("hard"),
+        F.min("hard_at")["evidence"].alias("hard_reason"),
+        F.collect_set(F.when(F.col("confirmed"), F.col("anchor"))).alias("confirmed"),
+        F.collect_list(F.when(F.col("n") > 0, found)).alias("findings"),
+        (F.coalesce(F.bool_or(crypto), F.lit(False)) & (F.coalesce(F.max(F.when(crypto, F.col("severity"))), F.lit(1.0)) <= 0)).alias("crypto_clean"),
+    )
 
 
 def verdicts(signals: DataFrame, rules: R.RuleSet = R.DEFAULT) -> DataFrame:
