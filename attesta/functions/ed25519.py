@@ -91,11 +91,12 @@ def verify(key: bytes, message: bytes, signature: bytes) -> bool:
     return (left[0] * right[2] - right[0] * left[2]) % P == 0 and (left[1] * right[2] - right[1] * left[2]) % P == 0
 
 
-# Order of the fields in the canonical form.
+# Version and order of the fields in the canonical form.
+VERSION = "sih-ref-1"
 FIELD_ORDER = ["doc_type", "id_number", "name", "father_name", "dob", "gender", "nationality", "address", "issue_date", "expiry_date", "issuing_authority", "secondary_id"]
 
 
-def canonical(payload: dict, version: str = "sih-ref-1", order: list[str] = FIELD_ORDER) -> bytes | None:
+def canonical(payload: dict, version: str = VERSION, order: list[str] = FIELD_ORDER) -> bytes | None:
     """Version, issuer and fields joined by 0x1f; None if the payload has other fields."""
     import unicodedata
 

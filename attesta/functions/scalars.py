@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from attesta.functions.ed25519 import VERSION
 from attesta.plans import rules as R
 
 #: Latin letters with marks, and the plain letters they stand for once marks are dropped.
@@ -66,13 +67,9 @@ def phonetic_key(key: Column) -> Column:
     return F.array_join(F.array_sort(codes), " ")
 
 
-#: Canonical form of a signed payload.
-CANONICAL_VERSION = "sih-ref-1"
-
-
 def canonical(issuer: Column, fields: list[Column]) -> Column:
     """The canonical string of a payload: version, issuer and fields, squeezed, null as empty, joined by 0x1f."""
-    return F.concat_ws("\x1f", F.lit(CANONICAL_VERSION), *(F.coalesce(squeeze(c.cast("string")), F.lit("")) for c in (issuer, *fields)))
+    return F.concat_ws("\x1f", F.lit(VERSION), *(F.coalesce(squeeze(c.cast("string")), F.lit("")) for c in (issuer, *fields)))
 
 
 def doc_hash(issuer: Column, fields: list[Column]) -> Column:
