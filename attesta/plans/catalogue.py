@@ -1,8 +1,4 @@
-"""Imports every module that registers queries."""
+"""All queries: imports every module that registers some."""
 
-from . import q_fusion  # noqa: F401
-from . import q_checks  # noqa: F401
-from . import q_joins  # noqa: F401
-from . import q_stats  # noqa: F401
-from . import q_etl  # noqa: F401
-from . import q_more  # noqa: F401
+from . import q_checks, q_etl, q_fusion, q_joins, q_more, q_stats  # noqa: F401
+from .registry import FLAGSHIP, ORACLE_SQL, QUERIES  # noqa: F401

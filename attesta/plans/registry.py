@@ -26,5 +26,3 @@ def query(name: str, sql: str | None = None):
 
     return put
 
-
-from . import catalogue  # noqa: E402, F401  registers all queries

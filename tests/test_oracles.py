@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from attesta.plans import registry
+from attesta.plans import catalogue
 
 from . import oracle
 
@@ -16,13 +16,13 @@ def con():
     return oracle.connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
 def test_same_rows(spark, con, name):
-    oracle.compare(spark, con, registry.QUERIES[name], registry.ORACLE_SQL[name], SF_DIR)
+    oracle.compare(spark, con, catalogue.QUERIES[name], catalogue.ORACLE_SQL[name], SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
 def test_runs(spark, name):
-    frame = registry.QUERIES[name](spark, SF_DIR)
+    frame = catalogue.QUERIES[name](spark, SF_DIR)
     assert frame.columns
     assert frame.count() >= 0
