@@ -361,3 +361,20 @@ def cards(signals: DataFrame, rules: R.RuleSet = R.DEFAULT) -> DataFrame:
     return per_case.join(found, "case_id", "left").withColumn(
         "finding_anchors", F.coalesce(F.transform(F.filter("ranked", lambda f: ~single(f)), lambda f: f["anchor"]), empty)
     ).drop("ranked")
+
+
+def client_rows(signals: DataFrame, rules: R.RuleSet = R.DEFAULT) -> DataFrame:
+    """Evidence rows as a client orders them: flagged hard fails, each with its anchor's finding folded in, then the other findings.
+
+    Unlike cards() this goes by the signals' own flags and keeps findings without
+    severity. Every applicable signal lies in some finding, so nothing is left for rows of gaps or passes.
+    """
+    ready = prepared(signals, rules)
+    flagged = ready.filter((F.col("verdict") == "fail") & F.col("hard_fail"))
+    hard = flagged.groupBy("case_id").agg(F.collect_set("id").alias("hard_ids"), F.collect_set("anchor").alias("hard_anchors"))
+    rows = findings(ready).join(hard, "case_id", "left")
+    folded = (F.col("severity") > 0) & F.coalesce(F.array_contains("hard_anchors", F.col("anchor")), F.lit(False))
+    told = F.coalesce(F.size(F.array_except("supporting", "hard_ids")) == 0, F.lit(False))
+    shown = rows.filter(~folded & ~told).select("case_id", F.lit("finding").alias("kind"), "anchor", F.lit("").alias("id"), "rank", (-F.col("severity")).alias("down"), "first_seq")
+    first = flagged.select("case_id", F.lit("hard_fail").alias("kind"), "anchor", "id", F.lit(-1).alias("rank"), F.lit(0.0).alias("down"), F.col("seq").alias("first_seq"))
+    return first.unionByName(shown)

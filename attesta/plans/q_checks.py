@@ -172,10 +172,10 @@ def f13_dl(t: Tables) -> DataFrame:
     return t.people.select("person_id", ok.alias("ok"), detail.alias("detail"))
 
 
-@query("F1_name", "SELECT page_id, trim(regexp_replace(regexp_replace(upper(strip_accents(substr(regexp_replace(html, '[^A-Za-z0-9éèêñíóúüöä< .,-]', ' ', 'g'), 1, 200))), '[^A-Z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM pages")
+@query("F1_name", "SELECT page_id, trim(regexp_replace(regexp_replace(upper(strip_accents(regexp_replace(html, '[^A-Za-z0-9éèêñíóúüöä< .,-]', ' ', 'g'))), '[^A-Z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM pages")
 def f1(t: Tables) -> DataFrame:
     """Name normaliser over Latin text."""
-    text = F.substring(F.regexp_replace("html", "[^A-Za-z0-9éèêñíóúüöä< .,-]", " "), 1, 200)
+    text = F.regexp_replace("html", "[^A-Za-z0-9éèêñíóúüöä< .,-]", " ")
     return t.pages.select("page_id", S.name(text).alias("name"))
 
 
@@ -286,7 +286,7 @@ def f32(t: Tables) -> DataFrame:
 
 @query("F33_wrap")
 def f33(t: Tables) -> DataFrame:
-    return t.conversations.select("conv_id", "turn", S.wrap(F.substring("text", 1, 300), 40).alias("lines"))
+    return t.conversations.select("conv_id", "turn", S.wrap(F.col("text"), 40).alias("lines"))
 
 
 @query("P29_date_order", "SELECT person_id, CASE WHEN dob < issued AND issued < expiry THEN 'pass' ELSE 'fail' END AS verdict FROM (SELECT person_id, CASE WHEN person_id % 6 = 0 THEN expiry ELSE dob END AS dob, issued, expiry FROM people)")

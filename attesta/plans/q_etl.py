@@ -74,11 +74,11 @@ def s11(t: Tables) -> DataFrame:
     return t.cases.select("case_id", F.size(names).alias("n"), F.get(names, F.lit(1)).alias("second"))
 
 
-@query("S12_coco_json", "SELECT box_id AS image_id, class AS category, round((x1 + (x2 - x1) / 2) / 500 + 1e-9, 6) AS cx, round((y2 - y1) / 400 + 1e-9, 6) AS h FROM boxes WHERE box_id % 4 = 0")
+@query("S12_coco_json", "SELECT box_id AS image_id, class AS category, round((x1 + (x2 - x1) / 2) / 500 + 1e-9, 6) AS cx, round((y2 - y1) / 400 + 1e-9, 6) AS h FROM boxes")
 def s12(t: Tables) -> DataFrame:
     """COCO annotations joined with images and categories, boxes normalised."""
     classes = ["dob", "name", "id_number", "photo"]
-    b = t.boxes.filter("box_id % 4 = 0")
+    b = t.boxes
     code = F.array_position(F.array(*map(F.lit, classes)), F.col("class"))
     doc = b.groupBy(F.pmod("box_id", F.lit(16)).alias("part")).agg(
         F.collect_list(F.struct(F.col("box_id").alias("id"), F.concat(F.lit("i"), F.col("box_id").cast("string")).alias("file_name"), F.lit(500.0).alias("width"), F.lit(400.0).alias("height"))).alias("images"),
@@ -105,11 +105,11 @@ def s14(t: Tables) -> DataFrame:
     return N.read_layout(t.spark, path).select("doc_type", "class", "boxes")
 
 
-@query("S17_stored_cases", "SELECT CAST(case_id AS STRING) AS case_id, count(*) AS n, count(*) FILTER (verdict = 'fail') AS failed FROM signals WHERE case_id % 20 = 0 GROUP BY ALL")
+@query("S17_stored_cases", "SELECT CAST(case_id AS STRING) AS case_id, count(*) AS n, count(*) FILTER (verdict = 'fail') AS failed FROM signals GROUP BY ALL")
 def s17(t: Tables) -> DataFrame:
     """Cases stored as JSON documents and exploded into ordered signals."""
     keys = ["id", "verdict", "confidence", "trust_class", "hard_fail", "anchor", "evidence", "latency_ms"]
-    s = t.signals.filter("case_id % 20 = 0")
+    s = t.signals
     doc = s.groupBy("case_id").agg(F.first("doc_type").alias("doc_type"), F.transform(F.array_sort(F.collect_list(F.struct("seq", *keys))), lambda x: F.struct(*(x[k].alias(k) for k in keys))).alias("signals"))
     path = written(doc.select(F.struct(F.col("case_id").cast("string").alias("scene"), "doc_type").alias("meta"), "signals"), "json")
     whole = t.spark.read.schema(f"meta struct<scene:string,doc_type:string>, signals array<{N.SIGNAL}>").json(path)

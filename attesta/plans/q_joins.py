@@ -30,11 +30,11 @@ def _sides(t: Tables) -> tuple[DataFrame, DataFrame]:
     return t.boxes.filter("box_id % 2 = 0").select(shown), t.boxes.filter("box_id % 2 = 1").select(shown)
 
 
-@query("J4_region_to_field", f"SELECT a.box_id AS region_id, arg_max(b.class, (round({_IOU}, 9), -b.ordinal, -b.box_id)) AS field FROM boxes a JOIN boxes b ON a.image_id = b.image_id WHERE a.box_id % 2 = 0 AND b.box_id % 2 = 0 AND a.box_id <> b.box_id AND {_IOU} > 0.3 GROUP BY a.box_id")
+@query("J4_region_to_field", f"SELECT a.box_id AS region_id, arg_max(b.class, (round({_IOU}, 9), -b.ordinal, -b.box_id)) AS field FROM boxes a JOIN boxes b ON a.image_id = b.image_id WHERE a.box_id <> b.box_id AND {_IOU} > 0.3 GROUP BY a.box_id")
 def j4(t: Tables) -> DataFrame:
     """Spatial join: the field whose box a region overlaps most, above 0.30."""
-    even, _ = _sides(t)
-    pairs = J.overlaps(even, even, ["image_id"], 0.30).filter("a_box_id <> b_box_id").withColumn("iou", F.round("iou", 9))
+    own = t.boxes.select("image_id", "box_id", "class", "ordinal", "x1", "y1", "x2", "y2")
+    pairs = J.overlaps(own, own, ["image_id"], 0.30).filter("a_box_id <> b_box_id").withColumn("iou", F.round("iou", 9))
     return J.best_box(pairs, ["a_box_id"]).select(F.col("a_box_id").alias("region_id"), F.col("b_class").alias("field"))
 
 

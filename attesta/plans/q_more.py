@@ -13,7 +13,7 @@ from attesta.operators import joins as J
 from . import rules as R
 from .q_checks import _AADHAAR, aadhaars, d_verhoeff
 from .q_etl import written
-from .q_fusion import signals
+from .q_fusion import found_sql, ready_sql, signals
 from .q_joins import _IOU
 from .registry import query
 from .views import Tables
@@ -196,28 +196,28 @@ def p57(t: Tables) -> DataFrame:
     return layer(t.people, 1, "dob").unionByName(layer(t.people.filter("sex <> '<'"), 2, "sex")).unionByName(layer(t.people.filter("person_id % 2 = 0"), 3, "number"))
 
 
-@query("J5_first_read_per_field", f"SELECT b.box_id AS field_id, arg_min(a.box_id, (a.ordinal, a.box_id)) AS read_id FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.class = b.class WHERE a.box_id % 2 = 0 AND b.box_id % 2 = 0 AND a.box_id <> b.box_id AND {_IOU} > 0.1 GROUP BY b.box_id")
+@query("J5_first_read_per_field", f"SELECT b.box_id AS field_id, arg_min(a.box_id, (a.ordinal, a.box_id)) AS read_id FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND a.class = b.class WHERE a.box_id <> b.box_id AND {_IOU} > 0.1 GROUP BY b.box_id")
 def j5(t: Tables) -> DataFrame:
     """Reads that overlap a field's box; the first of them keeps it."""
-    own = t.boxes.filter("box_id % 2 = 0").select("image_id", "box_id", "class", "ordinal", "x1", "y1", "x2", "y2")
+    own = t.boxes.select("image_id", "box_id", "class", "ordinal", "x1", "y1", "x2", "y2")
     pairs = J.overlaps(own, own, ["image_id", "class"], 0.10).filter("a_box_id <> b_box_id")
     return pairs.groupBy(F.col("b_box_id").alias("field_id")).agg(F.min_by("a_box_id", F.struct("a_ordinal", "a_box_id")).alias("read_id"))
 
 
-@query("J14_other_sessions", "SELECT a.event_id, count(*) AS n FROM crossings a JOIN crossings b ON a.user_id = b.user_id AND a.post_id <> b.post_id WHERE a.event_id % 40 = 0 GROUP BY a.event_id")
+@query("J14_other_sessions", "SELECT a.event_id, count(*) AS n FROM crossings a JOIN crossings b ON a.user_id = b.user_id AND a.post_id <> b.post_id GROUP BY a.event_id")
 def j14(t: Tables) -> DataFrame:
-    """Crossings of the same holder elsewhere, for a stated set of events: counts per holder and post, not pairs."""
+    """Crossings of the same holder elsewhere: counts per holder and post, not pairs."""
     per_post = t.crossings.groupBy("user_id", "post_id").agg(F.count("*").alias("c"))
     total = per_post.groupBy("user_id").agg(F.sum("c").alias("all"))
-    asked = t.crossings.filter("event_id % 40 = 0").select("event_id", "user_id", "post_id")
+    asked = t.crossings.select("event_id", "user_id", "post_id")
     return asked.join(total, "user_id").join(per_post, ["user_id", "post_id"]).select("event_id", (F.col("all") - F.col("c")).alias("n")).filter("n > 0")
 
 
-@query("J19_group_pairs", "WITH v AS (SELECT vec_id, label FROM vectors WHERE vec_id % 10 = 0) SELECT a.label, count(*) AS n FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label")
+@query("J19_group_pairs", "WITH v AS (SELECT vec_id, label FROM vectors) SELECT a.label, count(*) AS n FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label")
 def j19(t: Tables) -> DataFrame:
     """Unordered pairs within groups, counted by rank instead of being made."""
     rank = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    own = t.vectors.filter("vec_id % 10 = 0").select("label", rank.cast("long").alias("before"))
+    own = t.vectors.select("label", rank.cast("long").alias("before"))
     return own.groupBy("label").agg(F.sum("before").alias("n")).filter("n > 0")
 
 
@@ -278,16 +278,65 @@ def q4(t: Tables) -> DataFrame:
     return ids.select("id", X.weight_of(rules).alias("weight"))
 
 
-@query("R8_replay", "SELECT case_id, count(*) AS n_signals, count(*) FILTER (verdict = 'fail') AS n_failed FROM signals WHERE case_id % 50 = 0 GROUP BY case_id")
+@query("R8_replay", "SELECT case_id, count(*) AS n_signals, count(*) FILTER (verdict = 'fail') AS n_failed FROM signals GROUP BY case_id")
 def r8(t: Tables) -> DataFrame:
     """Stored cases replayed as an ordered stream of messages."""
-    own = signals(t).filter("case_id % 50 = 0")
+    own = signals(t)
     place = F.row_number().over(Window.partitionBy("case_id").orderBy("seq"))
     return own.withColumn("n", place).groupBy("case_id").agg(F.max("n").cast("long").alias("n_signals"), F.count_if(F.col("verdict") == "fail").alias("n_failed"))
 
 
-@query("R11_results_by_id", "SELECT c.case_id, c.status, o.o_totalprice AS amount FROM cases c JOIN orders o ON o.o_orderkey = c.case_id WHERE c.case_id % 7 = 0")
+@query("R11_results_by_id", "SELECT c.case_id, c.status, o.o_totalprice AS amount FROM cases c JOIN orders o ON o.o_orderkey = c.case_id")
 def r11(t: Tables) -> DataFrame:
     """Results are matched by id, never by position."""
     results = t.orders.select(F.col("o_orderkey").alias("case_id"), F.col("o_totalprice").alias("amount"))
-    return t.cases.filter("case_id % 7 = 0").select("case_id", "status").join(results, "case_id")
+    return t.cases.select("case_id", "status").join(results, "case_id")
+
+
+@query(
+    "A17_client_rows",
+    f"""WITH {ready_sql()}, {found_sql()}, h AS (SELECT case_id, anchor, id FROM ready WHERE hard_fail AND verdict = 'fail'),
+told AS (SELECT r.case_id, r.anchor FROM ready r LEFT JOIN (SELECT DISTINCT case_id, id FROM h) x ON x.case_id = r.case_id AND x.id = r.id WHERE r.verdict <> 'not_applicable' GROUP BY r.case_id, r.anchor HAVING count(*) = count(x.id))
+SELECT case_id, 'hard_fail' AS kind, anchor, id FROM h UNION ALL
+SELECT f.case_id, 'finding', f.anchor, '' FROM found f WHERE NOT (severity > 0 AND EXISTS (SELECT 1 FROM h WHERE h.case_id = f.case_id AND h.anchor = f.anchor)) AND NOT EXISTS (SELECT 1 FROM told t WHERE t.case_id = f.case_id AND t.anchor = f.anchor)""",
+)
+def a17(t: Tables) -> DataFrame:
+    """Evidence rows in the client's folding."""
+    return X.client_rows(signals(t)).select("case_id", "kind", "anchor", "id")
+
+
+@query("F28_number_builders", "SELECT i AS person_id, chr(CAST(65 + i * 7 % 26 AS INT)) || lpad(CAST(i * 7919 % 10000000 AS STRING), 7, '0') AS number FROM range(0, 3000) r(i)")
+def f28(t: Tables) -> DataFrame:
+    """Document numbers from row numbers, the same in every run."""
+    i = F.col("id")
+    letter = F.chr((65 + i * 7 % 26).cast("long"))
+    return t.spark.range(3000).select(i.alias("person_id"), F.concat(letter, F.lpad((i * 7919 % 10000000).cast("string"), 7, "0")).alias("number"))
+
+
+@query("F35_printed_values", "SELECT person_id, CASE person_id % 3 WHEN 0 THEN upper(given || ' ' || surname) WHEN 1 THEN substr(dob, 9, 2) || '/' || substr(dob, 6, 2) || '/' || substr(dob, 1, 4) ELSE regexp_replace(digits11, '(.{4})(.{4})(.*)', '\\1 \\2 \\3') END AS printed FROM people")
+def f35(t: Tables) -> DataFrame:
+    """What a card prints for a field: names upper case, dates day first, numbers in groups."""
+    k = F.col("person_id") % 3
+    day = F.date_format(F.to_date("dob"), "dd/MM/yyyy")
+    return t.people.select("person_id", F.when(k == 0, F.upper(F.concat_ws(" ", "given", "surname"))).when(k == 1, day).otherwise(S.group_digits(F.col("digits11"))).alias("printed"))
+
+
+@query("K6_event_sink", "SELECT case_id, seq, split_part(id, '.', 1) AS module FROM signals")
+def k6(t: Tables) -> DataFrame:
+    """Messages written as JSON lines and read back (K6)."""
+    rows = t.signals.select("case_id", "seq", F.to_json(F.struct("id", "verdict", "confidence")).alias("payload"))
+    back = t.spark.read.schema("case_id long, seq long, payload string").json(written(rows, "json"))
+    return back.select("case_id", "seq", F.split_part(F.get_json_object("payload", "$.id"), F.lit("."), F.lit(1)).alias("module"))
+
+
+@query("A2_grouped_anchors", "SELECT case_id, count(DISTINCT anchor) AS n_findings FROM signals WHERE verdict <> 'not_applicable' GROUP BY case_id")
+def a2(t: Tables) -> DataFrame:
+    """One finding for each anchor that has an applicable signal."""
+    return X.findings(X.prepared(signals(t))).groupBy("case_id").agg(F.count("*").alias("n_findings"))
+
+
+@query("W2_longest_pattern_rank", f"SELECT id, arg_max(pattern, length(pattern)) AS pattern FROM (SELECT DISTINCT id FROM signals) s JOIN {_WEIGHTS} ON v.doc_type = 'pan' AND (v.pattern = s.id OR (v.pattern LIKE '%.*' AND starts_with(s.id, left(v.pattern, length(v.pattern) - 1)))) GROUP BY id")
+def w2(t: Tables) -> DataFrame:
+    """The pattern that wins for each id."""
+    table = R.weight_table(t.spark).filter("doc_type = 'pan'").select("pattern", F.col("pattern").alias("winner"))
+    return X.resolve_patterns(t.signals, table, "winner").select("id", F.col("winner").alias("pattern"))
