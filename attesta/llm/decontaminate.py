@@ -2,26 +2,27 @@
 
 1. Document frequencies of all words come from a sketch of fixed size over the
    whole corpus, and give every word its inverse document frequency.
-2. The corpus is scanned for the benchmark's telling words (those in at most
-   ``COMMON`` of all documents), and each document keeps where they stand.
-3. Passages of 16, 32 and 64 words, together with the benchmark's own passages,
-   are the rows of a TF-IDF matrix.  Its leading right singular vectors come from
-   a distributed randomised SVD: tasks multiply their rows with a random matrix
-   and back, and only sums of the shape (words, rank) leave a task.
-4. Passages and benchmark items are projected on these vectors.  A passage whose
-   cosine with an item, and share of the item's weight, reach low bounds is a
-   candidate.
+2. Every item has telling words: its rarest ones, as many as it takes for any
+   text that passes the check of step 5 to hold ``NEED`` of them.  The corpus is
+   scanned for them, and each document keeps where they stand.
+3. Passages of 32 words, together with the benchmark's own passages, are the rows
+   of a TF-IDF matrix.  Its leading right singular vectors come from a distributed
+   randomised SVD: tasks multiply their rows with a random matrix and back, and
+   only sums of the shape (words, rank) leave a task.
+4. Windows of the texts, one from every 16th word on and as wide as the item asks
+   for, and benchmark items are projected on these vectors.  A window whose
+   product with an item reaches the least that a text accepted by step 5 can have
+   is a candidate.
 5. Candidates are checked on the words themselves: the longest common
-   subsequence of the item and the text around the passage must cover most of
-   the item; for a paraphrase, less of it, but then the answer (the item's last
-   words) nearly whole.
+   subsequence of the item and the window must cover most of the item; for a
+   paraphrase, less of it, but then the answer (the item's last words) nearly
+   whole.
 
 The benchmark is taken in blocks of at most ``ITEMS`` items, each a fixed query
 set against all documents, so what is broadcast has a fixed bound.
 
-Null text has no passage; null or empty items match nothing; items without a
-telling word are looked up by their rarest words.  Words are compared in lower
-case (A-Z), stripped of punctuation at their ends.  Rows that repeat a doc_id are
+Null text has no passage; null or empty items match nothing.  Words are compared
+in lower case (A-Z), stripped of punctuation at their ends.  Rows that repeat a doc_id are
 reported once.  Empty tables give an empty result.  Other columns are ignored,
 and kept by drop_contaminated.
 """
@@ -41,14 +42,13 @@ from . import textscan as ts
 from .store import doc_key, stored
 
 CELLS = 1 << 17
-COMMON = 0.02
+NEED = 4  # telling words of an item that an accepted text holds at least, if the item is that long
 ITEMS = 1024
 RANK = 128
 SPARE = 16
 BLOCK = 16
 SIZES = (1, 2, 4)  # blocks in a passage
-COSINE = 0.3
-SHARE = 0.3
+PIECE = 4096  # blocks multiplied at a time
 LCS_FULL = 0.8
 LCS_PARAPHRASE = 0.6
 ANSWER_WORDS = 8
@@ -133,8 +133,11 @@ class Query:
     ids: list
     words: list[list[str]]
     hashes: np.ndarray  # of telling words, sorted
-    weights: np.ndarray
+    weights: np.ndarray  # roots, so a product of two rows weighs a word by its inverse document frequency
     rows: np.ndarray  # a row for each item
+    bounds: np.ndarray  # the least product of an item's row and a window that judge() accepts
+    least: int  # telling words in such a window
+    wide: np.ndarray  # blocks in an item's window
 
     def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the hashes are telling words, and which ones."""
@@ -146,34 +149,46 @@ class Query:
         return at[own], i[own]
 
 
+def missing(n: int) -> int:
+    """How many words of an item of ``n`` words an accepted text may lack."""
+    return n - next(k for k in range(n + 1) if k / n >= min(LCS_FULL, LCS_PARAPHRASE))
+
+
+def window(n: int) -> int:
+    """Blocks in the windows judged for an item of ``n`` words: three of the passages nearest to it in length and a block more."""
+    size = min(SIZES, key=lambda s: abs(np.log(s * BLOCK / n)))
+    return 3 * size + 1
+
+
 def make_query(items: list[tuple[object, str]], frequency: np.ndarray) -> Query | None:
     n = max(1, int(frequency[CELLS]))
-    ids, words, chosen = [], [], []
+    ids, words, chosen, spare = [], [], [], []
     for item, text in items:
         own = words_of(text)
         if not any(own):
             continue
         hashes = hash_list(own)
-        df = frequency[_cell(hashes)]
-        keep = (df <= max(1, COMMON * n)) & np.array([bool(w) for w in own])
-        if keep.sum() < 3:  # no telling words: the rarest it has
-            order = np.argsort(df, kind="stable")
-            keep[[i for i in order if own[i]][:6]] = True
+        rarest = np.argsort(frequency[_cell(hashes)], kind="stable")[: missing(len(own)) + NEED]
+        telling = hashes[np.isin(hashes, hashes[rarest])]
         ids.append(item)
         words.append(own)
-        chosen.append(hashes[keep])
+        chosen.append(telling)
+        spare.append(len(telling) - missing(len(own)))  # a text that lacks all it may still holds so many
     if not ids:
         return None
     vocabulary = np.unique(np.concatenate(chosen))
-    weights = np.log((1 + n) / (1 + np.minimum(n, frequency[_cell(vocabulary)]))) + 0.1
+    weights = np.sqrt(np.log((1 + n) / (1 + np.minimum(n, frequency[_cell(vocabulary)]))) + 0.1).astype(np.float32)
     rows = np.zeros((len(ids), len(vocabulary)), np.float32)
+    bounds = np.zeros(len(ids))
     for r, hashes in enumerate(chosen):
-        np.add.at(rows[r], np.searchsorted(vocabulary, hashes), 1)
-    return Query(ids, words, vocabulary, weights.astype(np.float32), np.sqrt(rows) * weights.astype(np.float32))
+        at = np.searchsorted(vocabulary, hashes)
+        rows[r, at] = weights[at]
+        bounds[r] = np.sort(weights[at].astype(np.float64) ** 2)[: spare[r]].sum()
+    return Query(ids, words, vocabulary, weights, rows, bounds, min(spare), np.array([window(len(w)) for w in words]))
 
 
 def _find(query: Query):
-    """Where telling words stand: (key, places, terms) of each document that has two or more."""
+    """Where telling words stand: (key, places, terms) of each document that has enough for an item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,8 +197,8 @@ def _find(query: Query):
                 at, term = query.hits(word_hashes(chunk))
                 row = chunk.row_of[at]
                 counts = np.bincount(row, minlength=chunk.rows)
-                own = np.flatnonzero(counts > 1)
-                good = counts[row] > 1
+                own = np.flatnonzero(counts >= query.least)
+                good = counts[row] >= query.least
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys[own + chunk.first]), ts.long_lists((at - chunk.edges[row])[good], counts[own]), ts.long_lists(term[good], counts[own])],
                     ["key", "places", "terms"],
@@ -192,24 +207,6 @@ def _find(query: Query):
     return run
 
 
-def passages(places: np.ndarray, terms: np.ndarray, doc: np.ndarray, size: int, least: int = 2):
-    """Runs of ``size`` blocks of a document with ``least`` telling words or more: (document, first block, entries' passage, entries' term)."""
-    blocks = places // BLOCK
-    p, t, d = [], [], []
-    for shift in range(size):  # a word in block b lies in the passages that begin at b, b - 1, ...
-        own = blocks >= shift
-        p.append(blocks[own] - shift)
-        t.append(terms[own])
-        d.append(doc[own])
-    p, t, d = (np.concatenate(x) for x in (p, t, d))
-    span = int(p.max()) + 1 if len(p) else 1
-    key, inverse, counts = np.unique(d * span + p, return_inverse=True, return_counts=True)
-    good = counts >= least
-    number = np.cumsum(good) - 1
-    entry = good[inverse]
-    return key[good] // span, key[good] % span, number[inverse[entry]], t[entry]
-
-
 def _multiply(passage: np.ndarray, term: np.ndarray, weights: np.ndarray, dense: np.ndarray, n: int) -> np.ndarray:
     """Rows of the TF-IDF matrix times a dense matrix."""
     out = np.zeros((n, dense.shape[1]), np.float32)
@@ -223,25 +220,39 @@ def _multiply(passage: np.ndarray, term: np.ndarray, weights: np.ndarray, dense:
     return out
 
 
-def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _blocks(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The documents' blocks up to their last telling word, one document after another: where each document begins, entries' block, entries' term."""
     counts = batch.column("places").value_lengths().to_numpy()
-    return batch.column("places").flatten().to_numpy(), batch.column("terms").flatten().to_numpy(), np.repeat(np.arange(len(counts)), counts)
+    block = batch.column("places").flatten().to_numpy() // BLOCK
+    n = np.zeros(len(counts), np.int64)
+    n[counts > 0] = block[np.cumsum(counts)[counts > 0] - 1] + 1
+    base = np.concatenate([[0], np.cumsum(n)])
+    return base, np.repeat(base[:-1], counts) + block, batch.column("terms").flatten().to_numpy()
 
 
 def _gram(query: Query, dense: np.ndarray):
-    """The task's rows times ``dense`` and back."""
+    """The task's rows, of two blocks each, times ``dense`` and back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(dense.shape, np.float64)
         for batch in batches:
-            _, _, passage, term = passages(*_entries(batch), SIZES[1])
-            n = int(passage.max()) + 1 if len(passage) else 0
-            y = _multiply(passage, term, query.weights, dense, n)
-            order = np.argsort(term, kind="stable")
-            starts = np.flatnonzero(np.append(True, np.diff(term[order]) != 0)) if len(term) else []
-            for s, e in zip(starts, [*starts[1:], len(term)], strict=True):
-                t = term[order[s]]
-                total[t] += y[passage[order[s:e]]].sum(0) * query.weights[t]
+            base, at, term = _blocks(batch)
+            inner = np.ones(base[-1] + 1, np.float32)  # whether the block before is of the same document
+            inner[base] = 0
+            for a in range(0, base[-1], PIECE):
+                b = min(a + PIECE, base[-1])
+                lo, hi = np.searchsorted(at, [a, b + 1])
+                y = _multiply(at[lo:hi] - a, term[lo:hi], query.weights, dense, b - a + 1)
+                y[:-1] += y[1:] * inner[a + 1 : b + 1, None]
+                y[-1] = 0  # the row of the next piece
+                y[1:] += y[:-1] * inner[a + 1 : b + 1, None]
+                order = np.argsort(term[lo:hi], kind="stable")
+                t = term[lo:hi][order]
+                starts = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else []
+                for s in range(0, len(starts), 256):
+                    x, z = starts[s], starts[s + 256] if s + 256 < len(starts) else len(t)
+                    own = t[starts[s : s + 256]]
+                    total[own] += np.add.reduceat(y[at[lo:hi][order[x:z]] - a], starts[s : s + 256] - x, axis=0) * query.weights[own, None]
         yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["total"])
 
     return run
@@ -263,33 +274,36 @@ def latent(hits: DataFrame, query: Query, seed: int = 11, turns: int = 2) -> np.
 
 
 def _search(query: Query, vectors: np.ndarray):
-    """Candidates: (key, items, first and last word of the passage)."""
+    """Candidates: (key, items, first and last block from which a window begins)."""
     target = query.rows @ vectors
-    norm = np.linalg.norm(target, axis=1) + 1e-9
-    unit = target / norm[:, None]
-    length = np.array([len(w) for w in query.words])
-    sizes = np.array(SIZES) * BLOCK
-    fitting = np.abs(np.log(sizes[None, :] / length[:, None])).argmin(1)
+    # What an item loses in the latent space may be in the window, at most as much as the window's length.
+    lost = np.linalg.norm(query.rows - target @ vectors.T, axis=1)
+    dense = np.concatenate([vectors, np.ones((len(vectors), 1), np.float32)], axis=1)
+    rank = vectors.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("key").to_numpy()
-            places, terms, doc = _entries(batch)
+            base, at, term = _blocks(batch)
+            owner = np.repeat(np.arange(len(keys)), np.diff(base))
             out = []
-            for s, size in enumerate(SIZES):
-                items = np.flatnonzero(fitting == s)
-                if not len(items) or not len(places):
-                    continue
-                owner, block, passage, term = passages(places, terms, doc, size)
-                for a in range(0, len(owner), 8192):
-                    some = (passage >= a) & (passage < a + 8192)
-                    x = _multiply(passage[some] - a, term[some], query.weights, vectors, min(8192, len(owner) - a))
-                    dots = x @ unit[items].T
-                    near = (dots >= COSINE * (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9)) & (dots >= SHARE * norm[items])
-                    i, j = np.nonzero(near)
-                    # Two passages more on either side: an item may lie across passages.
-                    lo = np.maximum(0, (block[a + i] - size) * BLOCK)
-                    out.append((keys[owner[a + i]], items[j], lo, (block[a + i] + 2 * size) * BLOCK))
+            for a in range(0, base[-1], PIECE):
+                starts = np.arange(a, min(a + PIECE, base[-1]))
+                b = min(starts[-1] + int(query.wide.max()), base[-1])
+                lo, hi = np.searchsorted(at, [a, b])
+                x = _multiply(at[lo:hi] - a, term[lo:hi], query.weights, dense, b - a)
+                sums = np.concatenate([np.zeros((1, rank + 1)), np.cumsum(x, axis=0, dtype=np.float64)])
+                for wide in np.unique(query.wide):
+                    items = np.flatnonzero(query.wide == wide)
+                    ends = np.minimum(starts + wide, base[owner[starts] + 1])
+                    x = (sums[ends - a] - sums[starts - a]).astype(np.float32)
+                    near = x[:, :rank] @ target[items].T + x[:, rank:] * lost[items] >= query.bounds[items] * 0.999
+                    j, i = np.nonzero(near.T)
+                    if len(i):  # windows that begin in neighbouring blocks are one candidate
+                        doc = owner[starts[i]]
+                        first = np.append(True, (j[1:] != j[:-1]) | (doc[1:] != doc[:-1]) | (i[1:] != i[:-1] + 1))
+                        last = np.append(first[1:], True)
+                        out.append((keys[doc[first]], items[j[first]], starts[i[first]] - base[doc[first]], starts[i[last]] - base[doc[last]]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]).astype(np.int64)) for k in range(4)], ["key", "item", "lo", "hi"])
 
@@ -325,16 +339,12 @@ def _check(query: Query):
             out = {"key": [], "item": [], "share": [], "answer": []}
             for key, text, spans in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 words, best = words_of(text), {}
-                merged: dict[int, list[list[int]]] = {}
-                for s in sorted(spans, key=lambda s: (s["item"], s["lo"])):
-                    own = merged.setdefault(s["item"], [])
-                    if own and s["lo"] <= own[-1][0] + BLOCK and s["hi"] - own[-1][0] <= 8 * SIZES[-1] * BLOCK:
-                        own[-1][1] = max(own[-1][1], s["hi"])
-                    else:
-                        own.append([s["lo"], s["hi"]])
-                for item, ranges in merged.items():
-                    for lo, hi in ranges:
-                        good, share, known = judge(query.words[item], words[lo:hi])
+                for s in spans:
+                    item, wide = s["item"], int(query.wide[s["item"]])
+                    if lcs(query.words[item], words[s["lo"] * BLOCK : (s["hi"] + wide) * BLOCK]) / len(query.words[item]) < min(LCS_FULL, LCS_PARAPHRASE):
+                        continue  # then no window in it has more
+                    for b in range(s["lo"], s["hi"] + 1):
+                        good, share, known = judge(query.words[item], words[b * BLOCK : (b + wide) * BLOCK])
                         if good and share > best.get(item, (0, 0))[0]:
                             best[item] = (share, known)
                 for item, (share, known) in best.items():

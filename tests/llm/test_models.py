@@ -131,6 +131,41 @@ def test_decontamination(spark):
     assert D.contaminated(docs, marks.limit(0)).count() == 0
 
 
+def held(rows, items):
+    """(document, item) of every window of every document that judge() accepts."""
+    out = set()
+    for i, text in rows:
+        words = D.words_of(text)
+        for k, item in items:
+            own = D.words_of(item)
+            step = D.window(len(own))
+            if any(D.judge(own, words[b * D.BLOCK : (b + step) * D.BLOCK])[0] for b in range(len(words) // D.BLOCK + 1)):
+                out.add((i, str(k)))
+    return out
+
+
+def test_reworded_rare_words(spark):
+    """Items of mostly common words, planted with their rare words replaced: all that judge() accepts is found."""
+    rng = random.Random(16)
+    common = [f"c{k}" for k in range(400)]
+    items, rows = [], []
+    for k in range(12):
+        w = rng.sample(common, rng.randint(16, 44))
+        for j in rng.sample(range(len(w) - 8), 4):
+            w[j] = f"rare{k}x{j}"
+        items.append((k, " ".join(w)))
+    for k in range(240):
+        w = rng.choices(common, k=rng.choice([20, 120, 300]))
+        if k % 4 == 0:
+            at = rng.randint(0, len(w))
+            w[at:at] = [x if not x.startswith("rare") else "new" for x in items[k // 4 % 12][1].split()]
+        rows.append((k, " ".join(w)))
+    want = held(rows, items)
+    assert len(want) >= 60
+    got = D.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["key"], r["item"]) for r in got.collect()} == want
+
+
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(D, "ITEMS", 4)
     rng = random.Random(7)
