@@ -155,9 +155,9 @@ def missing(n: int) -> int:
 
 
 def window(n: int) -> int:
-    """Blocks in the windows judged for an item of ``n`` words: three of the passages nearest to it in length and a block more."""
+    """Blocks in the windows judged for an item of ``n`` words: three of the passages nearest to it in length and a block more, or its own length and two passages."""
     size = min(SIZES, key=lambda s: abs(np.log(s * BLOCK / n)))
-    return 3 * size + 1
+    return max(3 * size + 1, -(-n // BLOCK) + 2 * size)
 
 
 def make_query(items: list[tuple[object, str]], frequency: np.ndarray) -> Query | None:

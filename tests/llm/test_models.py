@@ -166,6 +166,23 @@ def test_reworded_rare_words(spark):
     assert {(r["key"], r["item"]) for r in got.collect()} == want
 
 
+def test_long_items(spark):
+    """Items far longer than a passage, planted at any place: as they are, and with every fourth word but the last eight replaced."""
+    rng = random.Random(18)
+    items = [(n, " ".join(f"l{rng.randint(0, 3000)}" for _ in range(n))) for n in (180, 213, 260, 300, 346, 400, 1000)]
+    rows, want = [], set()
+    for k, (n, item) in enumerate(items * 2):
+        w = item.split()
+        if k >= len(items):
+            w = [f"other{j}" if j % 4 == 0 and j < n - 8 else x for j, x in enumerate(w)]
+        head = [f"l{rng.randint(0, 3000)}" for _ in range(rng.randint(0, 200))]
+        rows.append((k, " ".join(head + w + head)))
+        want.add((k, str(n)))
+    rows += [(100 + k, " ".join(f"l{rng.randint(0, 3000)}" for _ in range(500))) for k in range(20)]
+    got = D.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["key"], r["item"]) for r in got.collect()} == want
+
+
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(D, "ITEMS", 4)
     rng = random.Random(7)
