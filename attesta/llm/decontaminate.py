@@ -19,7 +19,9 @@
    whole.
 
 The benchmark is taken in blocks of at most ``ITEMS`` items, each a fixed query
-set against all documents, so what is broadcast has a fixed bound.
+set against all documents, so what is broadcast has a fixed bound.  The latent
+space has more directions than a block has items, so it holds each item nearly
+whole; one that loses more than ``LOST`` is looked up on its words.
 
 Null text has no passage; null or empty items match nothing.  Words are compared
 in lower case (A-Z), stripped of punctuation at their ends.  Rows that repeat a doc_id are
@@ -43,12 +45,14 @@ from .store import doc_key, stored
 
 CELLS = 1 << 17
 NEED = 4  # telling words of an item that an accepted text holds at least, if the item is that long
-ITEMS = 1024
-RANK = 128
+RANK = 256
 SPARE = 16
+ITEMS = RANK - SPARE  # a block fits into the latent space
+LOST = 1e-3  # share of an item's norm that the latent space may lack
+EMPHASIS = 512  # times the weight at which items and passages count alike
 BLOCK = 16
 SIZES = (1, 2, 4)  # blocks in a passage
-PIECE = 4096  # blocks multiplied at a time
+PIECE = 1024  # blocks multiplied at a time
 LCS_FULL = 0.8
 LCS_PARAPHRASE = 0.6
 ANSWER_WORDS = 8
@@ -137,6 +141,8 @@ class Query:
     rows: np.ndarray  # a row for each item
     bounds: np.ndarray  # the least product of an item's row and a window that judge() accepts
     least: int  # telling words in such a window
+    counts: np.ndarray  # how often an item has each word
+    answers: np.ndarray  # and its answer
     wide: np.ndarray  # blocks in an item's window
 
     def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,9 +155,9 @@ class Query:
         return at[own], i[own]
 
 
-def missing(n: int) -> int:
-    """How many words of an item of ``n`` words an accepted text may lack."""
-    return n - next(k for k in range(n + 1) if k / n >= min(LCS_FULL, LCS_PARAPHRASE))
+def missing(n: int, share: float = min(LCS_FULL, LCS_PARAPHRASE)) -> int:
+    """How many words of an item of ``n`` words a text with this share of it may lack; without a share, a text that judge() accepts."""
+    return n - next(k for k in range(n + 1) if k / n >= share)
 
 
 def window(n: int) -> int:
@@ -184,7 +190,12 @@ def make_query(items: list[tuple[object, str]], frequency: np.ndarray) -> Query
         at = np.searchsorted(vocabulary, hashes)
         rows[r, at] = weights[at]
         bounds[r] = np.sort(weights[at].astype(np.float64) ** 2)[: spare[r]].sum()
-    return Query(ids, words, vocabulary, weights, rows, bounds, min(spare), np.array([window(len(w)) for w in words]))
+    counts, answers = (np.zeros(rows.shape, np.int16) for _ in range(2))
+    for r, (own, hashes) in enumerate(zip(words, chosen, strict=True)):
+        np.add.at(counts[r], np.searchsorted(vocabulary, hashes), 1)
+        answer = hash_list(own[-ANSWER_WORDS:])
+        np.add.at(answers[r], np.searchsorted(vocabulary, answer[np.isin(answer, hashes)]), 1)
+    return Query(ids, words, vocabulary, weights, rows, bounds, min(spare), counts, answers, np.array([window(len(w)) for w in words]))
 
 
 def _find(query: Query):
@@ -207,16 +218,13 @@ def _find(query: Query):
     return run
 
 
-def _multiply(passage: np.ndarray, term: np.ndarray, weights: np.ndarray, dense: np.ndarray, n: int) -> np.ndarray:
-    """Rows of the TF-IDF matrix times a dense matrix."""
+def _multiply(passage: np.ndarray, term: np.ndarray, dense: np.ndarray, n: int) -> np.ndarray:
+    """Rows of the TF-IDF matrix times a dense matrix that has the words' weights in it; passages are in order."""
     out = np.zeros((n, dense.shape[1]), np.float32)
-    order = np.argsort(passage, kind="stable")
-    passage, term = passage[order], term[order]
     starts = np.flatnonzero(np.append(True, passage[1:] != passage[:-1])) if len(passage) else []
     for a in range(0, len(starts), 4096):  # some thousand passages at a time
         lo, hi = starts[a], starts[a + 4096] if a + 4096 < len(starts) else len(passage)
-        part = dense[term[lo:hi]] * weights[term[lo:hi], None]
-        out[passage[starts[a : a + 4096]]] = np.add.reduceat(part, starts[a : a + 4096] - lo, axis=0)
+        out[passage[starts[a : a + 4096]]] = np.add.reduceat(dense[term[lo:hi]], starts[a : a + 4096] - lo, axis=0)
     return out
 
 
@@ -235,6 +243,7 @@ def _gram(query: Query, dense: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(dense.shape, np.float64)
+        weighed = dense * query.weights[:, None]
         for batch in batches:
             base, at, term = _blocks(batch)
             inner = np.ones(base[-1] + 1, np.float32)  # whether the block before is of the same document
@@ -242,7 +251,7 @@ def _gram(query: Query, dense: np.ndarray):
             for a in range(0, base[-1], PIECE):
                 b = min(a + PIECE, base[-1])
                 lo, hi = np.searchsorted(at, [a, b + 1])
-                y = _multiply(at[lo:hi] - a, term[lo:hi], query.weights, dense, b - a + 1)
+                y = _multiply(at[lo:hi] - a, term[lo:hi], weighed, b - a + 1)
                 y[:-1] += y[1:] * inner[a + 1 : b + 1, None]
                 y[-1] = 0  # the row of the next piece
                 y[1:] += y[:-1] * inner[a + 1 : b + 1, None]
@@ -260,9 +269,9 @@ def _gram(query: Query, dense: np.ndarray):
 
 def latent(hits: DataFrame, query: Query, seed: int = 11, turns: int = 2) -> np.ndarray:
     """Leading right singular vectors (words, rank) of the passages of corpus and benchmark together."""
-    wide = min(len(query.hashes), len(query.ids) + SPARE, RANK + SPARE)
+    wide = min(len(query.hashes), len(query.ids) + SPARE)
     basis = np.random.default_rng(seed).normal(size=(len(query.hashes), wide)).astype(np.float32)
-    emphasis = np.float32(max(1.0, np.sqrt(hits.count() / len(query.ids))))  # the few items weigh as much as the many passages
+    emphasis = np.float32(EMPHASIS * max(1.0, np.sqrt(hits.count() / len(query.ids))))  # the few items weigh more than the many passages, so that they lie in the space whole
     own = query.rows * emphasis
     for turn in range(turns):
         total = _summed(hits.mapInArrow(_gram(query, basis), "total array<double>"), np.float64, "double")
@@ -270,16 +279,44 @@ def latent(hits: DataFrame, query: Query, seed: int = 11, turns: int = 2) -> np.
         if turn + 1 < turns:
             basis = np.linalg.qr(image)[0].astype(np.float32)
     u, _, _ = np.linalg.svd(image, full_matrices=False)
-    return u[:, : min(RANK, wide)].astype(np.float32)
+    return u.astype(np.float32)
+
+
+def _enough(query: Query):
+    """Whether windows, as runs of entries, hold so many of an item's telling words, and of its answer's, that judge() may accept them."""
+    n = np.array([len(w) for w in query.words])
+    telling, known = query.counts.sum(1), query.answers.sum(1)
+    full = telling - [missing(k, LCS_FULL) for k in n]
+    part = telling - [missing(k, LCS_PARAPHRASE) for k in n]
+    answer = known - [missing(min(k, ANSWER_WORDS), ANSWER) for k in n]
+
+    def test(item: np.ndarray, lo: np.ndarray, hi: np.ndarray, term: np.ndarray) -> np.ndarray:
+        size = hi - lo
+        window = np.repeat(np.arange(len(item)), size)
+        own = term[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + lo[window]]
+        good = query.counts[item[window], own] > 0
+        key, times = np.unique(window[good] * len(query.hashes) + own[good], return_counts=True)
+        window, own = key // len(query.hashes), key % len(query.hashes)
+        held = np.bincount(window, np.minimum(times, query.counts[item[window], own]), len(item))
+        told = np.bincount(window, np.minimum(times, query.answers[item[window], own]), len(item))
+        return (held >= full[item]) | ((held >= part[item]) & (told >= answer[item]))
+
+    return test
 
 
 def _search(query: Query, vectors: np.ndarray):
     """Candidates: (key, items, first and last block from which a window begins)."""
     target = query.rows @ vectors
-    # What an item loses in the latent space may be in the window, at most as much as the window's length.
     lost = np.linalg.norm(query.rows - target @ vectors.T, axis=1)
-    dense = np.concatenate([vectors, np.ones((len(vectors), 1), np.float32)], axis=1)
-    rank = vectors.shape[1]
+    # Items that lose more are looked up on their words: each is a direction of its own.
+    direct = np.flatnonzero(lost > LOST * np.linalg.norm(query.rows, axis=1))
+    own = np.zeros((len(target), len(direct)), np.float32)
+    target[direct], lost[direct], own[direct, np.arange(len(direct))] = 0, 0, 1
+    target = np.concatenate([target, own], axis=1)
+    # What an item loses in the latent space may be in the window, at most as much as the window's length.
+    dense = np.concatenate([vectors, query.rows[direct].T, np.ones((len(vectors), 1), np.float32)], axis=1) * query.weights[:, None]
+    rank = target.shape[1]
+    enough = _enough(query)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,7 +328,7 @@ def _search(query: Query, vectors: np.ndarray):
                 starts = np.arange(a, min(a + PIECE, base[-1]))
                 b = min(starts[-1] + int(query.wide.max()), base[-1])
                 lo, hi = np.searchsorted(at, [a, b])
-                x = _multiply(at[lo:hi] - a, term[lo:hi], query.weights, dense, b - a)
+                x = _multiply(at[lo:hi] - a, term[lo:hi], dense, b - a)
                 sums = np.concatenate([np.zeros((1, rank + 1)), np.cumsum(x, axis=0, dtype=np.float64)])
                 for wide in np.unique(query.wide):
                     items = np.flatnonzero(query.wide == wide)
@@ -299,6 +336,8 @@ def _search(query: Query, vectors: np.ndarray):
                     x = (sums[ends - a] - sums[starts - a]).astype(np.float32)
                     near = x[:, :rank] @ target[items].T + x[:, rank:] * lost[items] >= query.bounds[items] * 0.999
                     j, i = np.nonzero(near.T)
+                    good = enough(items[j], *np.searchsorted(at, [starts[i], ends[i]]), term)
+                    j, i = j[good], i[good]
                     if len(i):  # windows that begin in neighbouring blocks are one candidate
                         doc = owner[starts[i]]
                         first = np.append(True, (j[1:] != j[:-1]) | (doc[1:] != doc[:-1]) | (i[1:] != i[:-1] + 1))
@@ -338,7 +377,10 @@ def _check(query: Query):
         for batch in batches:
             out = {"key": [], "item": [], "share": [], "answer": []}
             for key, text, spans in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                words, best = words_of(text), {}
+                raw, best = _WORD.findall(text), {}
+                words = [""] * len(raw)  # only those of candidates are looked at
+                for lo, hi in {(s["lo"] * BLOCK, (s["hi"] + int(query.wide[s["item"]])) * BLOCK) for s in spans}:
+                    words[lo:hi] = [w.translate(_LOWER).strip(_EDGE) for w in raw[lo:hi]]
                 for s in spans:
                     item, wide = s["item"], int(query.wide[s["item"]])
                     if lcs(query.words[item], words[s["lo"] * BLOCK : (s["hi"] + wide) * BLOCK]) / len(query.words[item]) < min(LCS_FULL, LCS_PARAPHRASE):

@@ -183,6 +183,40 @@ def test_long_items(spark):
     assert {(r["key"], r["item"]) for r in got.collect()} == want
 
 
+def many(rng):
+    """300 items that share their words, and documents that hold 60 of them reworded."""
+    items = [(k, " ".join(f"m{rng.randint(0, 900)}" for _ in range(rng.randint(15, 59)))) for k in range(300)]
+    rows = [(k, " ".join(f"m{rng.randint(0, 900)}" for _ in range(150))) for k in range(200)]
+    for n, (_, item) in enumerate(items[::5]):
+        w = item.split()
+        for j in rng.sample(range(len(w) - 8), len(w) // 4):
+            w[j] = f"new{j}"
+        rows.append((1000 + n, rows[n][1] + " " + " ".join(w)))
+    return rows, items
+
+
+def test_many_items(spark):
+    """Items of a full block lie in the latent space of a corpus whole."""
+    from attesta.llm.store import doc_key
+
+    rows, items = many(random.Random(19))
+    texts = spark.createDataFrame(rows, "doc_id long, text string").select(doc_key().alias("key"), "text")
+    query = D.make_query(items[: min(D.ITEMS, 200)], np.full(D.CELLS + 1, 3) + np.array([0] * D.CELLS + [1000]))
+    v = D.latent(texts.mapInArrow(D._find(query), "key long, places array<long>, terms array<long>"), query)
+    kept = np.linalg.norm(query.rows @ v, axis=1) / np.linalg.norm(query.rows, axis=1)
+    assert kept.min() > 0.999
+
+
+@pytest.mark.parametrize("rank", [None, 3])
+def test_many_items_found(spark, monkeypatch, rank):
+    """All are found, also where the latent space is too small for them."""
+    rows, items = many(random.Random(20))
+    whole = D.latent
+    monkeypatch.setattr(D, "latent", lambda *a: whole(*a)[:, :rank])
+    got = D.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["key"], r["item"]) for r in got.collect()} == held(rows[200:], items)
+
+
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(D, "ITEMS", 4)
     rng = random.Random(7)
