@@ -334,8 +334,10 @@ def _open_groups(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def _candidates(groups: DataFrame, whole: DataFrame, threshold: int, all_of_them: bool) -> DataFrame:
     """Distinct pairs (leader, print) that the groups name."""
-    who = groups.groupBy("token").agg(F.count("*").alias("c"), F.sum(F.xxhash64("print") % (1 << 40)).alias("who"))
-    once = groups.join(who.groupBy("c", "who").agg(F.min("token").alias("token")), "token")
+    who = groups.groupBy("token").agg(
+        F.count("*").alias("c"), F.sum(F.xxhash64("print") % (1 << 40)).alias("who"), F.min("print").alias("lo"), F.max("print").alias("hi"), F.bit_xor(F.xxhash64(F.lit(1), "print")).alias("mixed")
+    )  # two members are known by lo and hi alone
+    once = groups.join(who.groupBy("c", "who", "lo", "hi", "mixed").agg(F.min("token").alias("token")), "token")
     cells = once.withColumn("cells", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("print"), F.col("cells")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other")
     dealt = cells.select("token", "print", "n", "component", "own", other).select(

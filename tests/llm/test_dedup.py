@@ -154,3 +154,17 @@ def test_scan():
     hashes = chunk.hashes()
     assert len(set(hashes.tolist())) == len({w for t in texts for w in brute.words(t)})
     assert ts.sliding_min(np.array([5, 3, 4, 1, 9]), 3).tolist() == [3, 1, 1]
+
+
+def test_groups_of_equal_sums(spark):
+    """Two groups of two whose hashes have the same sum: both pairs are named."""
+    hashes = np.array([r[0] for r in spark.range(6000).selectExpr("xxhash64(id) % (1L << 40)").collect()])
+    i, j = np.triu_indices(len(hashes), 1)
+    total = hashes[i] + hashes[j]
+    order = np.argsort(total)
+    k = int(np.flatnonzero(total[order][1:] == total[order][:-1])[0])
+    pairs = [(int(i[x]), int(j[x])) for x in order[k : k + 2]]
+    groups = spark.createDataFrame([(t, p, 50, p) for t, pair in enumerate(pairs) for p in pair], "token long, print long, n int, component long")
+    whole = spark.createDataFrame([(p, [0]) for pair in pairs for p in pair], "print long, sketch array<long>")
+    found = ngram_join._candidates(groups, whole, 80, True)
+    assert sorted(map(tuple, found.collect())) == sorted(pairs)
