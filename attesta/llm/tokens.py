@@ -6,7 +6,9 @@ pieces are found by their hashes, and each piece is encoded once by the
 tokenizers library; the ids of pieces that a Python worker has met before come
 from a table of bounded size.  The pattern is applied here, on arrays of
 code points, for texts whose characters all lie below U+0250; any other text
-goes to the library whole.  Tests hold both ways against each other.
+goes to the library whole, as does a text that holds the string of an added
+token, which the library cuts out first.  So the ids are always those of the
+tokenizer file as the library loads it.  Tests hold both ways against each other.
 """
 
 from __future__ import annotations
@@ -50,12 +52,13 @@ class Encoder:
 
         self.path = path
         self.classes = _classes()
-        self.rare = re.compile(f"[^\\u0000-\\u{PLAIN_BELOW - 1:04x}]")
-        self.values = ts.mix(np.arange(PLAIN_BELOW, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-        # The library's own byte mapping without its pattern, for pieces that are cut already.
         self.single = Tokenizer.from_file(path)
-        self.single.encode_special_tokens = True
+        # The library's own byte mapping without its pattern, for pieces that are cut already.
         self.single.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.rare = re.compile(f"[^\\u0000-\\u{PLAIN_BELOW - 1:04x}]")
+        added = [re.escape(token.content) for token in self.single.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
+        self.values = ts.mix(np.arange(PLAIN_BELOW, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
         self.known = np.zeros(0, np.uint64)  # sorted hashes of pieces met before
         self.offset = np.zeros(0, np.int64)  # of their ids in self.flat
         self.size = np.zeros(0, np.int64)
@@ -67,7 +70,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         out = Tokenizer.from_file(self.path)
-        out.encode_special_tokens = True
         out.no_padding()
         out.no_truncation()
         return out
@@ -147,9 +149,13 @@ class Encoder:
         edges = np.append(0, end)[np.searchsorted(starts, bounds)]
         return [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
+    def _whole(self, text: str) -> bool:
+        """Whether the library must cut the text."""
+        return (not text.isascii() and self.rare.search(text) is not None) or (self.added is not None and self.added.search(text) is not None)
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; give it some hundred KB of texts at a time."""
-        rare = [not t.isascii() and self.rare.search(t) is not None for t in texts]
+        rare = [self._whole(t) for t in texts]
         simple = iter(self.plain([t for t, r in zip(texts, rare, strict=True) if not r]))
         return [np.array(self.whole([t])[0], np.uint32) if r else next(simple) for t, r in zip(texts, rare, strict=True)]
 

@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from attesta.llm import packing, sharding, token_output
 from attesta.llm.queries import tokenizer_path
@@ -12,7 +13,7 @@ from attesta.llm.tokens import PLAIN_BELOW, Encoder
 
 ROWS = [
     (4, "Hello, it's a test of 123 things.\n\nNew  line "), (2, None), (9, ""), (1, "naïve café ÷ ½ µ"), (7, "中文 mixed \U0001f600 text"), (None, "no id"),
-    (3, "<|endoftext|> is plain"), (8, " word" * 5000), (4, "Hello again"), (4, "Hello again"),
+    (3, "hello <|endoftext|> x"), (8, " word" * 5000), (4, "Hello again"), (4, "Hello again"),
 ]
 
 
@@ -21,39 +22,48 @@ def encoder():
     return Encoder(tokenizer_path())
 
 
-def ids_of(encoder, text):
-    return encoder.tokenizer.encode(text or "", add_special_tokens=False).ids
+@pytest.fixture(scope="module")
+def library():
+    """The tokenizer as the library loads it, nothing set."""
+    return Tokenizer.from_file(tokenizer_path())
+
+
+def ids_of(library, text):
+    return library.encode(text or "", add_special_tokens=False).ids
 
 
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def test_pieces_equal_the_library(encoder):
+def test_pieces_equal_the_library(encoder, library):
     """Cutting here and cutting in the library give the same ids, for all plain characters and their neighbours."""
     rng = random.Random(3)
     parts = [" ", " ", "\n", "\t", "'", "s", "t", "re", "ve", "ll", "d", "m", "B", "é", "12", "²", "!", ".", "\x85", "\x1c", "\xa0", "'s", "'ll", "中"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(4000)]
     texts += [f"a{chr(c)}b {chr(c)}{chr(c)} 'x{chr(c)}" for c in range(PLAIN_BELOW)]
+    for token in library.get_added_tokens_decoder().values():
+        texts += [x + token.content + y for x in ("", "hello ", "a", "中") for y in ("", " x", "b", token.content, token.content[:-1])]
+        texts += [token.content.upper(), token.content[1:], f"é {token.content}é"]
     for a in range(0, len(texts), 50):
         for got, text in zip(encoder(texts[a : a + 50]), texts[a : a + 50], strict=True):
-            assert got.tolist() == ids_of(encoder, text), repr(text)
+            assert got.tolist() == ids_of(library, text), repr(text)
 
 
-def test_forgetting(encoder, monkeypatch):
+def test_forgetting(library, monkeypatch):
     monkeypatch.setattr("attesta.llm.tokens.CACHE_PIECES", 50)
     fresh = Encoder(tokenizer_path())
     rng = random.Random(5)
     for _ in range(30):
         texts = [" ".join(f"w{rng.randint(0, 400)}" for _ in range(40)) for _ in range(3)]
-        assert [x.tolist() for x in fresh(texts)] == [ids_of(encoder, t) for t in texts]
+        assert [x.tolist() for x in fresh(texts)] == [ids_of(library, t) for t in texts]
 
 
-def test_packing(docs, encoder):
+def test_packing(docs, library):
     rows = packing.pack(docs(ROWS), tokenizer_path(), group_pieces=3).collect()
     full = defaultdict(list)
     for i, t in ROWS:
-        full[i].append([*ids_of(encoder, t), 1])
+        full[i].append([*ids_of(library, t), 1])
     assert sum(r["length"] for r in rows) == sum(len(x) for v in full.values() for x in v)
     sequences = defaultdict(list)
     for r in rows:
@@ -84,11 +94,11 @@ def test_best_fit_decreasing():
     assert offset == plain and max(sequence) + 1 == len(room)
 
 
-def test_token_files(spark, docs, encoder):
+def test_token_files(spark, docs, library):
     rows = token_output.token_summary(docs(ROWS), tokenizer_path()).collect()
     at, want = 0, []
     for i, t in sorted(ROWS, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
-        ids = [*ids_of(encoder, t), 0]
+        ids = [*ids_of(library, t), 0]
         want.append((i, at, len(ids), crc(ids)))
         at += len(ids)
     assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, want))
