@@ -10,10 +10,11 @@ open sequences with room for c ids: the first non-empty leaf at or after the
 length of the piece is one walk up and one down.
 
 Ids never move: a task that reads text returns only (document, start, length,
-checksum) of pieces, and the packing works on those.  Pieces are dealt by a hash
-of their document to groups of about ``group_pieces``, each packed in one task,
-so a group's memory doesn't depend on the size of the corpus.  The hash spreads
-copies and hot sources evenly.
+checksum) of pieces, which are written once, and the packing works on those.
+Full windows need no packing and stay where they are.  The others are dealt by a
+hash of their document to groups of about ``group_pieces``, each packed in one
+task, so a group's memory doesn't depend on the size of the corpus, nor on the
+length of its documents.  The hash spreads copies and hot sources evenly.
 
 Null text is empty: one piece with the end id alone.  Rows that repeat a doc_id
 are packed as separate documents with that id.  An empty table gives an empty
@@ -30,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import doc_key
+from .store import doc_key, stored
 from .tokens import encoder, groups, little
 
 SEQUENCE = 2048
 END_ID = 1
+COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+FULL = 1 << 62  # sequences of one full window are numbered from here, those of a group below
 
 
 class RoomTree:
@@ -118,8 +121,7 @@ def _fill(capacity: int):
         lengths = length[order].tolist()
         sequence, offset = best_fit_decreasing(lengths, capacity)
         ids = table.column("part").to_numpy().astype(np.int64) << 32 | np.array(sequence, np.int64)
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-        out = table.select(names).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset, pa.int64()))
+        out = table.select(COLUMNS).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset, pa.int64()))
         return out.combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,10 +147,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = SEQUENCE, end_id: int
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    groups = max(1, -(-docs.count() // group_pieces))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key().alias("key"), F.col("text").cast("string").alias("text"))
-    pieces = texts.mapInArrow(_pieces(tokenizer, capacity, end_id), "doc_id long, key long, start long, length long, ids_crc32 long, doc_tokens long")
-    # Full windows are groups of their own kind, and packed in the same way: one to a sequence.
+    pieces = stored(texts.mapInArrow(_pieces(tokenizer, capacity, end_id), "doc_id long, key long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
+    full = pieces.filter(F.col("length") == capacity).select(*COLUMNS, (F.lit(FULL) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = pieces.filter(F.col("length") < capacity)
+    groups = max(1, -(-rest.count() // group_pieces))
     part = F.pmod(F.xxhash64("key", "doc_tokens", "start"), F.lit(groups)).cast("int")
-    dealt = pieces.withColumn("part", part).repartition(groups, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(_fill(capacity), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    dealt = rest.withColumn("part", part).repartition(groups, "part").sortWithinPartitions("part")
+    return full.unionByName(dealt.mapInArrow(_fill(capacity), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"))
