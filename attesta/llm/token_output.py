@@ -5,7 +5,8 @@ array, which ORC packs by run-length encoding.  Row indexes and Bloom filters on
 doc_id let a reader skip stripes and row groups by their metadata, and large
 files can be read stripe by stripe in parallel.  Rows are range-partitioned and
 sorted by doc_id before they are encoded, so file k holds smaller ids than file
-k + 1, and min/max statistics of doc_id prune well.
+k + 1, and min/max statistics of doc_id prune well.  How many files there are
+follows from the bytes of text.
 
 Null text is empty: a document with the end id alone.  A null doc_id comes after
 all others.  Rows that repeat a doc_id stay separate rows, ordered by text.  An
@@ -23,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import doc_key, place, width
+from .store import doc_key, place
 from .tokens import encoder, groups, little
 
 END_ID = 0
+FILE_BYTES = 32 << 20
+FEW_BYTES = 4 << 20
 ORC = {
     "compression": "lz4",
     "orc.stripe.size": str(16 << 20),
@@ -56,10 +59,16 @@ def _encode(path: str, end_id: int, limit: int = 600_000):
     return run
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, files: int | None = None) -> None:
+def file_count(texts: DataFrame, file_bytes: int) -> int:
+    """Files of about ``file_bytes`` of text; smaller ones, down to FEW_BYTES, where cores would be idle otherwise."""
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
+    return max(1, -(-size // file_bytes), min(texts.sparkSession.sparkContext.defaultParallelism * 2, -(-size // FEW_BYTES)))
+
+
+def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, files: int | None = None, file_bytes: int = FILE_BYTES) -> None:
     """Write the ids of every document as ORC files under ``path``, in ascending doc_id order."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = texts.repartitionByRange(files or width(docs.sparkSession), F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
+    ordered = texts.repartitionByRange(files or file_count(texts, file_bytes), F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
     ordered.mapInArrow(_encode(tokenizer, end_id), SCHEMA).write.options(**ORC).orc(path)
 
 
