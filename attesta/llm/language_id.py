@@ -8,17 +8,17 @@ logistic function, a class scores the mean of its pairs, and ``score`` is the
 product of both levels.
 
 The machines are fitted on at most ``sample_rows`` labelled rows, dealt evenly
-to the languages and chosen by a hash of doc_id.  Every text is scored whole,
+to the languages and chosen by a hash of doc_id; each language has one at least,
+so there are more rows only if there are more languages.  Every text is scored whole,
 from its text alone, in one scan without a shuffle.
 
-Null text, or text without a letter, is ``und`` with score 0.  If no labelled
+Null text, or text without a letter (Unicode category L), is ``und`` with score 0.  If no labelled
 row exists, every row is ``und``.  With one language learned, that one is
 predicted.  Columns other than doc_id, text and lang are ignored.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,6 +26,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ FAMILIES = {
     "semitic": "ar he mt am",
 }
 _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
@@ -88,8 +89,13 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 buckets.append(b)
                 counts.append(c)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("lang").slice(chunk.first, chunk.rows), pa.array(buckets, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))],
-                ["lang", "buckets", "counts"],
+                [
+                    batch.column("lang").slice(chunk.first, chunk.rows),
+                    pa.array(buckets, pa.list_(pa.int32())),
+                    pa.array(counts, pa.list_(pa.int32())),
+                    *(batch.column(c).slice(chunk.first, chunk.rows) for c in ("later", "place")),
+                ],
+                ["lang", "buckets", "counts", "later", "place"],
             )
 
 
@@ -174,15 +180,19 @@ def learnable(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """Fit on at most sample_rows rows that have a lang, evenly over the languages."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
-    if not counts:
+    """Fit on at most sample_rows rows that have a lang, evenly over the languages, or one of each where there are more languages."""
+    rank = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1 << 30))
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", rank.alias("rank"))
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("rank").alias("least")).collect()  # one row a language
+    if not found:
         return None
-    share = sample_rows // len(counts)
-    rank = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / (1 << 30)
-    chance = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, 0.9 * share / n))) for k, n in counts.items()))
-    picked = rows.filter(rank < chance).select("lang", "text").mapInArrow(_features, "lang string, buckets array<int>, counts array<int>").limit(2 * sample_rows).toPandas()
+    share = max(1, sample_rows // len(found))
+    # A language's bound lets in about its share, and its first row in any case.
+    bounds = docs.sparkSession.createDataFrame([(r["lang"], r["least"], max(r["least"], int(min(1.0, 1.2 * share / r["n"]) * (1 << 30)))) for r in found], "lang string, least long, bound long")
+    chosen = rows.join(F.broadcast(bounds), "lang").filter("rank <= bound")
+    order = [(F.col("rank") > F.col("least")).alias("later"), (F.col("rank") / F.greatest(F.col("bound"), F.lit(1))).alias("place")]
+    features = chosen.select("lang", "text", *order).mapInArrow(_features, "lang string, buckets array<int>, counts array<int>, later boolean, place double")
+    picked = features.orderBy("later", "place", "lang").limit(max(sample_rows, len(found))).toPandas()
     if picked.empty:
         return None
     x = np.zeros((len(picked), BUCKETS), np.float32)

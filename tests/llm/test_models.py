@@ -266,3 +266,125 @@ def test_pair_machine(n):
     y = np.repeat([1, -1], 50).astype(np.float32)
     w, b = L.fit_pair(x, y)
     assert (np.sign(x @ w + b) == y).all()
+
+
+def test_letters(spark):
+    """Only characters of category L are letters: digits, fractions, letter numbers and marks alone are none."""
+    rows = [(0, "abc def ghi", "xx"), (1, "½²", None), (2, "Ⅷ ٣ _ 1", None), (3, "中", None), (4, "ª", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["lang_pred"] for r in L.identify(frame, L.fit(frame)).collect()} == {0: "xx", 1: "und", 2: "und", 3: "xx", 4: "xx"}
+
+
+def test_more_languages_than_rows(spark):
+    """Every language keeps a row; the sample is never larger than its bound."""
+    rows = [(k, f"{chr(97 + k % 26) * 3}{chr(97 + k // 26) * 3} " * 5, f"l{k % 40}") for k in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(frame, sample_rows=8)
+    assert {c for level in model.within.values() for c in level.classes} == {f"l{k}" for k in range(40)}
+
+
+def plain_language(model, text):
+    """The prediction by loops over trigrams and pairs."""
+    raw = f" {text} ".encode()
+    raw = bytes(b + 32 if 65 <= b <= 90 else b for b in raw)
+    size = len(raw) - 2
+    keys = [((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761 % 2**32) >> (32 - L.BUCKETS.bit_length() + 1) for i in range(size)]
+
+    def best(level):
+        if len(level.classes) == 1:
+            return level.classes[0], 1.0
+        votes = dict.fromkeys(range(len(level.classes)), 0.0)
+        for k, (i, j) in enumerate(level.pairs):
+            margin = sum(float(level.weights[k][x]) * float(model.scale[x]) for x in keys) / max(1, size) + float(level.bias[k])
+            p = 1 / (1 + np.exp(-3 * margin))
+            votes[i] += p
+            votes[j] += 1 - p
+        at = max(votes, key=votes.get)
+        return level.classes[at], votes[at] / (len(level.classes) - 1)
+
+    group, outer = best(model.families)
+    lang, inner = best(model.within[group])
+    return lang, outer * inner
+
+
+def test_languages_against_loops(spark):
+    rng = random.Random(31)
+    rows = [(k, prose(rng, lang, rng.choice([1, 5, 40])), lang) for k in range(200) for lang in [rng.choice(list(SYLLABLES))]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(frame)
+    got = {r["doc_id"]: r for r in L.identify(frame, model).collect()}
+    for i, text, _ in rows[:60]:
+        lang, score = plain_language(model, text)
+        assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - score) < 1e-3
+
+
+def test_quality_against_loops(spark):
+    """Scores equal the sum over all pairs of features, by plain loops."""
+    import pyarrow as pa
+
+    from attesta.llm import textscan as ts
+
+    rng = random.Random(32)
+    rows = [(k, prose(rng, "en", rng.randint(1, 30)) if k % 3 else "BUY!! ### NOW!! " * rng.randint(1, 9)) for k in range(60)] + [(60, ""), (61, None)]
+    labels = [(k, int(k % 3 > 0), 0) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = Q.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r["doc_id"]: r["score"] for r in Q.score(docs, model).collect()}
+    for i, text in rows:
+        (chunk,) = ts.scan(pa.array([text or ""]))
+        x = model.inputs(*Q.vectors(chunk))[0].astype(float)
+        on = np.flatnonzero(x)
+        z = model.bias + sum(x[a] * model.weights[a] for a in on) + sum(x[a] * x[b] * float(model.factors[a] @ model.factors[b]) for a in on for b in on if a < b)
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-3
+
+
+def test_quality_sample_bound(spark):
+    rows = [(k, f"word{k} " * 5) for k in range(300)] + [(k, "again") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    real = Q.train
+    try:
+        Q.train = lambda words, stats, y, **k: seen.append(len(y)) or real(words, stats, y, **k)
+        Q.fit(docs, spark.createDataFrame([(k, k % 2, 0) for k in range(300)], "doc_id long, quality int, toxic int"), sample_rows=50)
+    finally:
+        Q.train = real
+    assert seen == [50]
+
+
+def auc(scores, labels):
+    order = np.argsort(scores, kind="stable")
+    rank = np.empty(len(scores))
+    rank[order] = np.arange(1, len(scores) + 1)
+    y = np.asarray(labels)[...] > 0
+    return (rank[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum())
+
+
+def test_held_out_on_tables(spark):
+    """Held-out accuracy and AUC on the driver's tables, above a majority and a unigram baseline."""
+    import os
+
+    from attesta.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    lang = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    got = [r for r in queries.op8_language_id(spark, folder).collect() if r["held_out"] and lang[r["doc_id"]] is not None and r["lang_pred"] != "und"]
+    right = np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in got])
+    most = max(np.mean([lang[r["doc_id"]] == v for r in got]) for v in set(lang.values()))
+    assert right > 0.95 > most
+    quality = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r["quality"] is not None}
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    rows = [r for r in queries.op10_quality_classifier(spark, folder).collect() if r["held_out"] and r["doc_id"] in quality]
+    truth = [quality[r["doc_id"]] for r in rows]
+    held = {r["doc_id"] for r in rows}
+    odds = {}
+    for i, y in quality.items():  # naive Bayes on single words
+        if i not in held and i in text:
+            for w in set(brute.words(text[i])):
+                odds.setdefault(w, [1, 1])[y] += 1
+    naive = [np.mean([np.log(odds[w][1] / odds[w][0]) for w in set(brute.words(text[r["doc_id"]])) if w in odds] or [0]) for r in rows]
+    mine = auc([r["score"] for r in rows], truth)
+    print("language", right, most, "quality", mine, auc(naive, truth), len(rows))
+    assert mine > 0.9 and mine > auc(naive, truth) - 0.01
