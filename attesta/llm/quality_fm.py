@@ -6,8 +6,8 @@ product of every pair of features, weighted by the inner product of their
 low-rank factors; the sum over all pairs is half of (square of sums minus sum
 of squares) for each factor, so scoring is linear in the number of features.
 
-It is fitted on at most ``sample_rows`` labelled rows, chosen by a hash of
-doc_id.  Each whole text is then scored from its text alone, in one scan
+It is fitted on at most ``sample_rows`` labelled rows, those of the lowest
+hashes of doc_id.  Each whole text is then scored from its text alone, in one scan
 without a shuffle.
 
 Null text is empty and is scored like any other.  A null doc_id isn't held out.
@@ -119,22 +119,21 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([b.astype(np.int32) for b in found], pa.list_(pa.int32())),
                     pa.array([w[b] for w, b in zip(words, found, strict=True)], pa.list_(pa.float32())),
                     pa.array(list(stats), pa.list_(pa.float32())),
+                    batch.column("rank").slice(chunk.first, chunk.rows),
+                    pa.array(ts.fingerprints(chunk.hashes(), chunk.edges)),
                 ],
-                ["quality", "buckets", "shares", "stats"],
+                ["quality", "buckets", "shares", "stats", "rank", "print"],
             )
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Machine | float:
     """Fit on at most sample_rows labelled documents; a plain share where there is nothing to tell apart."""
     marked = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    n = marked.count()
-    if not n:
-        return 0.5
-    rank = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30)) / (1 << 30)
-    chosen = marked.filter(rank < min(1.0, 0.9 * sample_rows / n)).limit(2 * sample_rows)
-    # A bounded sample of ids and labels: sample_rows twice at most.
+    chosen = marked.select("doc_id", "quality", F.xxhash64("doc_id", F.lit(23)).alias("rank")).orderBy("rank", "doc_id").limit(sample_rows)
+    # At most sample_rows ids with their labels.
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    picked = texts.join(F.broadcast(chosen), "doc_id").select("quality", "text").mapInArrow(_vectors, "quality int, buckets array<int>, shares array<float>, stats array<float>").limit(2 * sample_rows).toPandas()
+    features = texts.join(F.broadcast(chosen), "doc_id").select("quality", "text", "rank").mapInArrow(_vectors, "quality int, buckets array<int>, shares array<float>, stats array<float>, rank long, print long")
+    picked = features.orderBy("rank", "print").limit(sample_rows).toPandas()
     y = (picked["quality"].to_numpy() > 0).astype(np.float32) if len(picked) else np.zeros(0, np.float32)
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.5
