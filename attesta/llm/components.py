@@ -24,13 +24,14 @@ def _hook(edges: DataFrame, both: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for each node of links (a, b) but those that are the smallest of theirs; component is that smallest node.
 
-    Each contraction is written to the shared folder, so plans stay short; a hot
-    node's links are aggregated before they are joined, and no group is collected.
+    Nodes may be of any type with an order.  Each contraction is written to the
+    shared folder, so plans stay short, and replaces the one before; a hot node's
+    links are aggregated before they are joined, and no group is collected.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "edges")
     before = None
     for _ in range(ROUNDS):
-        edges = stored(_hook(_hook(edges, True), False), "edges")
+        edges = stored(_hook(_hook(edges, True), False), "edges", [edges])
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).first()
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -1,63 +1,67 @@
 """N-gram Jaccard join: documents whose sets of word n-grams are nearly equal.
 
-Sets are ordered globally, rarer n-grams first, and joined in tries: the sets of
-a group are stored as paths of a prefix tree, a query walks it once for all
-paths that share a beginning and so shares their partial overlap, and leaves a
-subtree as soon as the n-grams that remain on either side can't lift the overlap
-to the bound.  Subtrees of the query's own component are left as well.
+Sets are ordered globally, rarer n-grams first, and joined in prefix trees: the
+beginnings of a group's sets are the paths of a tree, all sets of the group walk
+it together, so that a stretch shared by many paths is compared once for all of
+them, and a set leaves a subtree as soon as the n-grams that remain can't lift
+the overlap to the bound, or if the subtree lies in its own component
+(prefix_trie.search).
 
 How sets meet:
 
 1. Equal sets are one class from the start; only classes go on.
 2. Sets of n and m n-grams with Jaccard similarity t or more share at least
-   ``surplus`` n-grams within their ordered prefixes of n - ceil(t n) + surplus.
+   ``surplus`` n-grams within their ordered beginnings of n - ceil(t n) + surplus.
    A class with fewer shared n-grams there has no link and is dropped, by counts
    alone.
-3. The others meet in groups by shared n-gram. A set's parity sketch (each n-gram
-   flips one bit) bounds the difference of two sets from below, so a group names
-   the pairs that can still link without moving a set: at first only as many as
-   tie the group together, so copies of one document, however many, are compared
-   along a tree and not with each other. Groups with the same members are looked
-   at once, large ones in blocks of bounded size.
-4. Pairs are joined in tries, one for the partners of each set.
-5. Where a group still holds several components, all its pairs across components
-   that the sketches allow are joined in the same way.
+3. Classes meet in groups by an n-gram they share.  First every class goes to
+   ``HOMES`` groups only, those of its lowest-hashed shared n-grams, where near
+   copies meet with near certainty.  Large groups are cut into blocks, each block
+   names the pairs that tie its components together, and only one class of each
+   component goes on to the next round; so any number of copies of a document
+   costs work in proportion to their number.
+4. Then all groups that still hold several components are searched, whole.  Each
+   class leaves out its ``surplus - 1`` largest groups, as a linked pair has one
+   more n-gram in common than that.  Groups with the same members are looked at
+   once.  In a group above the block size, members of a component that fills
+   blocks of its own never meet one another.
+5. Every pair named is checked on the whole sets.
 
 The global order needs frequencies, and these come from a sketch of fixed size
 over all documents: it only decides the order, so any error in it costs time and
-no link.
+no link.  The sketch also tells which n-grams may be held by very many sets;
+these are dealt over many tasks.
 
 Null text, or text without a word, has an empty set, and is linked with nothing.
 Text with fewer words than n has one n-gram, its whole sequence.  A null doc_id
 comes after all others, and is given back as null.  Rows that repeat are
 documents of their own with equal sets.  An empty table gives an empty result.
+Columns other than doc_id and text are ignored, and kept by keep_first.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textscan as ts
+from .adders import schema, slices, summed
 from .components import components
-from .store import LAST_ID, doc_key, stored, width
+from .prefix_trie import required, search
+from .store import LAST_ID, doc_key, small, split_join, stored, width
 
 SHINGLE = 3
 THRESHOLD = 90  # per cent
 CELLS = 1 << 16
-BLOCK = 2000
-BROADCAST_IDS = 400_000
-
-
-def required(n: int, m: int, threshold: int) -> int:
-    """Common n-grams that sets of n and m need: 100 i >= threshold (n + m - i)."""
-    return -(-threshold * (n + m) // (100 + threshold))
+HOMES = 2
+BLOCK = 1 << 18  # n-grams of beginnings in a block
+LEAST = 128  # that a set counts for at least, so a block holds at most BLOCK / LEAST sets
+ROUNDS = 20
 
 
 def sets(chunk: ts.Chunk, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,33 +94,32 @@ def _print(gram: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 
 def _outline(shingle: int):
-    """Per document: key, size of its set, and the set's fingerprint; per task a last row with the task's counts."""
+    """Per document: key, size of its set, and the set's fingerprint; then the task's counts, in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
+        counts = np.zeros(CELLS, np.int64)
         for batch in batches:
             for chunk in ts.scan(batch.column("text"), lower=True):
                 gram, edges = sets(chunk, shingle)
-                total += np.bincount((gram >> np.uint64(48)).astype(np.int64), minlength=CELLS)
+                counts += np.bincount((gram >> np.uint64(48)).astype(np.int64), minlength=CELLS)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("key").slice(chunk.first, chunk.rows), pa.array(np.diff(edges)), pa.array(_print(gram, edges)), pa.nulls(chunk.rows, pa.list_(pa.int64()))],
-                    ["key", "n", "print", "counts"],
+                    [
+                        batch.column("key").slice(chunk.first, chunk.rows),
+                        pa.array(np.diff(edges)),
+                        pa.array(_print(gram, edges)),
+                        pa.nulls(chunk.rows, pa.int32()),
+                        pa.nulls(chunk.rows, pa.list_(pa.int64())),
+                    ],
+                    ["key", "n", "print", "part", "total"],
                 )
-        if total.any():
+        if counts.any():
             none = pa.array([0], pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array([total], pa.list_(pa.int64()))], ["key", "n", "print", "counts"])
+            for part in slices(counts):
+                yield pa.RecordBatch.from_arrays([none, none, none, *part.columns], ["key", "n", "print", "part", "total"])
 
     return run
 
 
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(CELLS, np.int64)
-    for batch in batches:
-        for i in range(batch.num_rows):
-            total += batch.column("counts")[i].values.to_numpy()
-    yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.int64()))], ["counts"])
-
-
 def order_levels(counts: np.ndarray) -> np.ndarray:
     """A level from 0 to 15 for each cell of the sketch; cells far above the mean come later in the global order."""
     mean = max(1.0, counts.mean())
@@ -131,12 +134,21 @@ def _ordered(gram: np.ndarray, edges: np.ndarray, levels: np.ndarray) -> np.ndar
     return key.view(np.int64)
 
 
+def hot_cells(counts: np.ndarray) -> np.ndarray:
+    """Cells whose n-grams may be held by very many sets; they are at most 1/64 of all."""
+    return counts > 64 * max(1.0, counts.mean())
+
+
 def surplus(n: np.ndarray | int, threshold: int) -> np.ndarray | int:
     return 1 + n * (100 - threshold) // 200
 
 
-def _prefixes(shingle: int, threshold: int, levels: np.ndarray, memory: int = 100_000):
-    """(token, print) for the ordered prefix of each set; a task gives each equal set once, as far as it remembers."""
+def prefix_size(size: np.ndarray, threshold: int) -> np.ndarray:
+    return np.minimum(size, size - -(-threshold * size // 100) + surplus(size, threshold))
+
+
+def _prefixes(shingle: int, threshold: int, levels: np.ndarray, hot: np.ndarray, memory: int = 100_000):
+    """(token, print, hot) for the ordered beginning of each set; a task gives each equal set once, as far as it remembers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -145,8 +157,7 @@ def _prefixes(shingle: int, threshold: int, levels: np.ndarray, memory: int = 10
                 gram, edges = sets(chunk, shingle)
                 prints = _print(gram, edges)
                 key = _ordered(gram, edges, levels)
-                size = np.diff(edges)
-                take = np.minimum(size, size - -(-threshold * size // 100) + surplus(size, threshold))
+                take = prefix_size(np.diff(edges), threshold)
                 for r, p in enumerate(prints.tolist()):
                     if p in seen:
                         take[r] = 0
@@ -155,20 +166,14 @@ def _prefixes(shingle: int, threshold: int, levels: np.ndarray, memory: int = 10
                     seen.clear()
                 total = int(take.sum())
                 inner = np.arange(total) - np.repeat(np.cumsum(take) - take, take)
-                yield pa.RecordBatch.from_arrays([pa.array(key[np.repeat(edges[:-1], take) + inner]), pa.array(np.repeat(prints, take))], ["token", "print"])
+                token = key[np.repeat(edges[:-1], take) + inner]
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(prints, take)), pa.array(hot[token >> 43 & CELLS - 1])], ["token", "print", "hot"])
 
     return run
 
 
-def parity(gram: np.ndarray) -> np.ndarray:
-    """A bit field of about two bits an n-gram; each n-gram flips one."""
-    words = 1 << max(0, (len(gram) - 1) // 64).bit_length()
-    bits = np.bincount((gram & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
-
-
-def _whole(shingle: int, levels: np.ndarray):
-    """(print, tokens, sketch): the ordered sets."""
+def _whole(shingle: int, threshold: int, levels: np.ndarray):
+    """(print, n, tokens, path): the ordered sets, and the tree's path of each, which is its beginning by the tokens' upper 31 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,240 +181,184 @@ def _whole(shingle: int, levels: np.ndarray):
             for chunk in ts.scan(batch.column("text"), lower=True):
                 gram, edges = sets(chunk, shingle)
                 prints = _print(gram, edges)
-                tokens = ts.long_lists(_ordered(gram, edges, levels), np.diff(edges))
-                sketch = pa.array([parity(gram[a:b]) for a, b in pairwise(edges.tolist())], pa.list_(pa.int64()))
-                out = pa.RecordBatch.from_arrays([pa.array(prints), tokens, sketch], ["print", "tokens", "sketch"])
+                key = _ordered(gram, edges, levels)
+                size = np.diff(edges)
+                take = prefix_size(size, threshold)
+                inner = np.arange(int(take.sum())) - np.repeat(np.cumsum(take) - take, take)
+                path = (key[np.repeat(edges[:-1], take) + inner] >> 32).astype(np.int32)
+                out = pa.RecordBatch.from_arrays([pa.array(prints), pa.array(size), ts.long_lists(key, size), ts.long_lists(path, take)], ["print", "n", "tokens", "path"])
                 yield out.filter(pa.array(prints == wanted[chunk.first : chunk.first + chunk.rows]))
 
     return run
 
 
-class Trie:
-    """A prefix tree of ordered sets, with single-child runs kept as one node."""
-
-    def __init__(self, paths: list[np.ndarray], threshold: int):
-        self.paths, self.threshold = paths, threshold
-        # Big-endian bytes of non-negative longs compare as the paths do.
-        raw = [path.astype(">i8").tobytes() for path in paths]
-        self.root = self._build(sorted(range(len(paths)), key=raw.__getitem__), 0)
-
-    def _build(self, order: list[int], depth: int) -> tuple:
-        """(tokens of the node, depth after them, ids that end here, children, least and greatest size, all ids below)."""
-        first, last = self.paths[order[0]], self.paths[order[-1]]
-        short = min(len(first), len(last))
-        differ = np.flatnonzero(first[depth:short] != last[depth:short])
-        common = depth + int(differ[0]) if len(differ) else short
-        ends = [i for i in order if len(self.paths[i]) == common]
-        rest = order[len(ends) :]
-        children = []
-        at = 0
-        while at < len(rest):
-            token = self.paths[rest[at]][common]
-            to = at + 1
-            while to < len(rest) and self.paths[rest[to]][common] == token:
-                to += 1
-            children.append(self._build(rest[at:to], common))
-            at = to
-        sizes = [len(self.paths[i]) for i in order]
-        return first[depth:common], common, ends, children, min(sizes), max(sizes), order
-
-    def search(self, query: np.ndarray, skip) -> list[int]:
-        """Ids whose sets link with the query; subtrees for which skip(ids) holds are left out."""
-        found: list[int] = []
-        n, own = len(query), set(query.tolist())
-        stack = [(self.root, 0)]
-        while stack:
-            (tokens, depth, ends, children, least, most, below), overlap = stack.pop()
-            if threshold_size(n, most, self.threshold) or threshold_size(least, n, self.threshold) or skip(below):
-                continue
-            if len(tokens):
-                overlap += sum(map(own.__contains__, tokens.tolist()))
-                left = n - int(np.searchsorted(query, tokens[-1], "right"))
-            else:
-                left = n
-            if overlap + min(left, most - depth) < required(n, least, self.threshold):
-                continue
-            found += [i for i in ends if overlap >= required(n, depth, self.threshold)]
-            stack += [(child, overlap) for child in children]
-        return found
-
-
-def threshold_size(larger: int, smaller: int, threshold: int) -> bool:
-    """Whether sets of these sizes can't link: even if the smaller lies in the larger."""
-    return 100 * smaller < threshold * larger
-
-
-def _lists(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
+def _lists(batch: pa.RecordBatch | pa.Table, name: str) -> list[np.ndarray]:
     column = batch.column(name)
     values, edges = column.values.to_numpy(), column.offsets.to_numpy()
     return [values[a:b] for a, b in pairwise(edges.tolist())]
 
 
-def _star(threshold: int):
-    """Search each leader's set in the trie of its partners of a batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            leader, own = batch.column("leader").to_numpy(), batch.column("print").to_numpy()
-            ones, others = _lists(batch, "leader_tokens"), _lists(batch, "tokens")
-            cuts = [0, *(np.flatnonzero(np.diff(leader)) + 1).tolist(), len(leader)]
-            a, b = [], []
-            for i, j in pairwise(cuts):
-                for k in Trie(others[i:j], threshold).search(ones[i], lambda _: False):
-                    a.append(leader[i])
-                    b.append(own[i + k])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return run
-
-
-def _allowed(n: np.ndarray, m: np.ndarray, threshold: int) -> np.ndarray:
-    """The most n-grams by which linked sets of n and m can differ; negative if none can link."""
-    fits = 100 * np.minimum(n, m) >= threshold * np.maximum(n, m)
-    return np.where(fits, n + m - 2 * (-(-threshold * (n + m) // (100 + threshold))), -1)
-
-
-def possible(n: np.ndarray, sketches: list[np.ndarray], threshold: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a member of ``left`` and a member of ``right`` (flags) whose sizes and sketches allow a link."""
-    width = np.array([len(x) for x in sketches])
-    a, b = [], []
-    for w in np.unique(width):
-        own = np.flatnonzero((width == w) | (width == 2 * w))
-        folded = np.array([sketches[i] if width[i] == w else sketches[i][:w] ^ sketches[i][w:] for i in own])
-        at = np.flatnonzero(right[own])
-        for k, i in enumerate(own):
-            if left[i] and len(at):
-                with_it = at if width[i] == w else at[width[own[at]] == w]
-                gap = np.bitwise_count((folded[with_it] ^ folded[k]).view(np.uint64)).sum(1, dtype=np.int64)
-                near = own[with_it[gap <= _allowed(n[i], n[own[with_it]], threshold)]]
-                a.append(np.full(len(near), i))
-                b.append(near)
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
-
-
-def _pairs(threshold: int, all_of_them: bool):
-    """Pairs (leader, print) of a group or a pair of blocks that may tie its components: a forest of them, or all."""
+def _search(threshold: int, forest: bool):
+    """Pairs (leader, print) of a block, or of two blocks of a group."""
 
     def run(table: pa.Table) -> pa.Table:
         batch = table.combine_chunks().to_batches()[0]
         own, side, label, n = (batch.column(c).to_numpy() for c in ("print", "side", "component", "n"))
-        i, j = possible(n, _lists(batch, "sketch"), threshold, side != 1, side != 0)
-        i, j = np.minimum(i, j), np.maximum(i, j)
-        across = label[i] != label[j]
-        i, j = i[across], j[across]
-        if all_of_them:
-            order = np.unique(i * len(own) + j)
-            i, j = order // len(own), order % len(own)
-        else:
-            parent = {x: x for x in label.tolist()}
-
-            def find(x: int) -> int:
-                while parent[x] != x:
-                    parent[x] = x = parent[parent[x]]
-                return x
-
-            keep = []
-            for k, (x, y) in enumerate(zip(label[i].tolist(), label[j].tolist(), strict=True)):
-                x, y = find(x), find(y)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    keep.append(k)
-            i, j = i[keep], j[keep]
+        i, j = search(_lists(batch, "path"), n, label, side != 1, side != 0, threshold, forest)
         return pa.table({"leader": pa.array(np.minimum(own[i], own[j])), "print": pa.array(np.maximum(own[i], own[j]))})
 
     return run
 
 
-def _open_groups(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members of groups that hold several components, with their component."""
-    if labels is None:
-        members = members.withColumn("component", F.col("print"))
-    else:
-        members = members.join(labels, members["print"] == labels["node"], "left").select("token", "print", "n", F.coalesce("component", "print").alias("component"))
-    group = Window.partitionBy("token")
-    return members.withColumn("lo", F.min("component").over(group)).withColumn("hi", F.max("component").over(group)).filter("lo < hi").drop("lo", "hi")
-
-
-def _candidates(groups: DataFrame, whole: DataFrame, threshold: int, all_of_them: bool) -> DataFrame:
-    """Distinct pairs (leader, print) that the groups name."""
-    who = groups.groupBy("token").agg(
-        F.count("*").alias("c"), F.sum(F.xxhash64("print") % (1 << 40)).alias("who"), F.min("print").alias("lo"), F.max("print").alias("hi"), F.bit_xor(F.xxhash64(F.lit(1), "print")).alias("mixed")
-    )  # two members are known by lo and hi alone
-    once = groups.join(who.groupBy("c", "who", "lo", "hi", "mixed").agg(F.min("token").alias("token")), "token")
-    cells = once.withColumn("cells", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("print"), F.col("cells")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other")
-    dealt = cells.select("token", "print", "n", "component", "own", other).select(
-        "token",
-        F.least("own", "other").alias("i"),
-        F.greatest("own", "other").alias("j"),
-        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-        "print",
-        "n",
-        "component",
-    )
-    found = dealt.join(whole.select("print", "sketch"), "print").groupBy("token", "i", "j").applyInArrow(_pairs(threshold, all_of_them), "leader long, print long")
-    return stored(found.distinct(), "pairs")
+def _check(threshold: int):
+    """The pairs that link, by their whole sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [
+                len(np.intersect1d(x, y, assume_unique=True)) >= required(len(x), len(y), threshold)
+                for x, y in zip(_lists(batch, "leader_tokens"), _lists(batch, "tokens"), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("print")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
 
 
 def _verified(pairs: DataFrame, whole: DataFrame, threshold: int) -> DataFrame:
-    """The pairs that link."""
     partners = pairs.join(whole.select("print", "tokens"), "print").select("leader", "print", "tokens")
     leaders = whole.select(F.col("print").alias("leader"), F.col("tokens").alias("leader_tokens"))
     rows = partners.join(leaders, "leader").select("leader", "print", "leader_tokens", "tokens")
-    return stored(rows.mapInArrow(_star(threshold), "a long, b long"), "links")
+    return stored(rows.mapInArrow(_check(threshold), "a long, b long"), "links")
+
+
+def _weight(n: str = "n") -> Column:
+    """What a set of n tokens counts for in a block: about the length of its path."""
+    return F.greatest(F.lit(LEAST), F.ceil(F.col(n) / 5)).cast("long")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """rows with the component of their print; its own print where it has none."""
+    if labels is None:
+        return rows.withColumn("component", F.col("print"))
+    return rows.join(labels.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
+
+
+_SEARCHED = "leader long, print long"
+
+
+def _tied(homes: DataFrame, whole: DataFrame, threshold: int) -> DataFrame | None:
+    """Links that tie classes within their home groups, block by block and round by round."""
+    links = None
+    for _ in range(ROUNDS):
+        sizes = homes.groupBy("token").agg(F.sum(_weight()).alias("w"), F.count("*").alias("c")).filter("c > 1").withColumn("cells", F.ceil(F.col("w") / BLOCK).cast("int"))
+        sizes = stored(sizes, "homes")
+        state = sizes.agg(F.sum("c").alias("c"), F.max("cells").alias("cells")).first()
+        if not state["c"]:
+            break
+        dealt = split_join(homes, sizes, ["token"], "c", state["c"]).withColumn("cell", F.pmod(F.xxhash64("print"), F.col("cells")))
+        rows = dealt.select("token", "cell", "print", "component", F.lit(2).alias("side")).join(whole.select("print", "n", "path"), "print")
+        pairs = stored(rows.groupBy("token", "cell").applyInArrow(_search(threshold, True), _SEARCHED).distinct(), "pairs")
+        more = _verified(pairs, whole, threshold)
+        links = more if links is None else stored(links.unionByName(more), "links", [links, more])
+        if state["cells"] == 1:
+            break
+        labels = components(links) if not links.isEmpty() else None
+        before = homes
+        homes = stored(_labelled(homes.drop("component"), labels).dropDuplicates(["token", "component"]), "firsts")
+        if homes.count() == before.count():  # nothing was tied: the search of all groups is left to find what there is
+            break
+    return links
+
+
+def _cells(members: DataFrame) -> DataFrame:
+    """Members dealt to searches: (token, i, j, side, print, component).
+
+    A group within the block size is one search.  In a larger one, a component
+    that is as large as a block gets blocks of its own, the others share blocks,
+    and every two blocks are searched but those of one component.
+    """
+    whole = members.groupBy("token").agg(F.sum(_weight()).alias("w"), F.count("*").alias("c"))
+    whole = stored(whole.withColumn("large", F.col("w") > BLOCK), "sizes")
+    total = members.count()
+    marked = split_join(members, whole.select("token", "large", "c"), ["token"], "c", total).drop("c")
+    plain = marked.filter("not large").select("token", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"), "print", "component")
+    if not whole.filter("large").limit(1).count():
+        return plain
+    large = stored(marked.filter("large"), "large")
+    parts = large.groupBy("token", "component").agg(F.sum(_weight()).alias("w"), F.count("*").alias("c")).withColumn("pure", F.col("w") > BLOCK)
+    parts = stored(parts.withColumn("owner", F.when(F.col("pure"), F.col("component"))), "parts")
+    cells = parts.groupBy("token", "owner").agg(F.ceil(F.sum("w") / BLOCK).cast("int").alias("cells"))
+    cells = cells.withColumn("first", F.sum("cells").over(Window.partitionBy("token").orderBy("owner")) - F.col("cells"))  # one row a component that fills a block
+    cells = stored(cells.withColumn("first", F.col("first").cast("int")), "cells")
+    single = cells.select("token", "owner", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("cells") - 1)).alias("cell"))
+    other = single.select("token", F.col("owner").alias("other_owner"), F.col("cell").alias("other"))
+    met = single.join(other, "token").filter("owner is null or not (owner <=> other_owner)")
+    met = stored(met.groupBy("token", "cell").agg(F.collect_list("other").alias("others")), "met")
+    keyed = split_join(large, parts.select("token", "component", "owner", "c"), ["token", "component"], "c", total).drop("c")
+    numbered = keyed.withColumn("owner_key", F.coalesce("owner", F.lit(-1))).join(cells.select("token", F.coalesce("owner", F.lit(-1)).alias("owner_key"), "cells", "first"), ["token", "owner_key"])
+    placed = numbered.withColumn("cell", F.col("first") + F.pmod(F.xxhash64("print"), F.col("cells")).cast("int"))
+    dealt = placed.join(met, ["token", "cell"]).select("token", "print", "component", F.col("cell").alias("own"), F.explode("others").alias("other"))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    return plain.unionByName(dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "print", "component"))
+
+
+def _open(members: DataFrame, labels: DataFrame | None, total: int) -> DataFrame:
+    """Members of groups that hold several components; of groups with the same members one."""
+    named = stored(_labelled(members, labels), "named")
+    who = named.groupBy("token").agg(
+        F.count("*").alias("c"), F.sum(F.xxhash64("print") % (1 << 40)).alias("who"), F.min("print").alias("lo"), F.max("print").alias("hi"), F.bit_xor(F.xxhash64(F.lit(1), "print")).alias("mixed"),
+        F.min("component").alias("one"), F.max("component").alias("other"),
+    )
+    once = who.filter("one < other").groupBy("c", "who", "lo", "hi", "mixed").agg(F.min("token").alias("token")).select("token", "c")
+    return stored(split_join(named, stored(once, "groups"), ["token"], "c", total).drop("c"), "open")
 
 
 def _linked(members: DataFrame, whole: DataFrame, threshold: int) -> DataFrame | None:
     """(node, component) of the classes that links tie, or None without links."""
-    groups = _open_groups(members, None)
-    links = _verified(_candidates(groups, whole, threshold, False), whole, threshold)
-    if links.isEmpty():
-        first = None
-    else:
-        first = components(links)
-    rest = _verified(_candidates(_open_groups(members, first), whole, threshold, True), whole, threshold)
+    ranked = F.array_sort(F.collect_set(F.struct(F.xxhash64("token").alias("h"), "token")))
+    homes = members.groupBy("print", "n").agg(F.slice(ranked, 1, HOMES).alias("homes")).select("print", "n", F.explode("homes.token").alias("token"))
+    links = _tied(stored(homes.withColumn("component", F.col("print")), "homes"), whole, threshold)
+    labels = components(links) if links is not None and not links.isEmpty() else None
+    rows = _cells(_open(members, labels, members.count())).join(whole.select("print", "n", "path"), "print")
+    pairs = stored(rows.groupBy("token", "i", "j").applyInArrow(_search(threshold, False), _SEARCHED).distinct(), "pairs")
+    rest = _verified(pairs, whole, threshold)
     if rest.isEmpty():
-        return first
-    return components(links.unionByName(rest))
-
-
-def _levels(outline: DataFrame) -> np.ndarray:
-    parts = outline.filter("counts is not null").select("counts").repartition(8).mapInArrow(_add_up, "counts array<bigint>").toPandas()  # at most 8 rows of CELLS counts
-    total = np.zeros(CELLS, np.int64)
-    for x in parts["counts"]:
-        total += np.asarray(x)
-    return order_levels(total)
-
-
-def _classes(spark: SparkSession, outline: DataFrame, texts: DataFrame, shingle: int, threshold: int) -> DataFrame | None:
-    levels = _levels(outline)
-    classes = outline.filter("counts is null and n > 0").groupBy("print").agg(F.min("key").alias("key"), F.first("n").alias("n"))
-    n = width(spark)
-    group = Window.partitionBy("token")
-    rows = texts.mapInArrow(_prefixes(shingle, threshold, levels), "token long, print long").repartition(n, "token")
-    shared = stored(
-        rows.withColumn("lo", F.min("print").over(group)).withColumn("hi", F.max("print").over(group)).filter("lo < hi").select("token", "print").distinct(), "shared"
-    )
+        return labels
+    return components(rest if links is None else links.unionByName(rest))
+
+
+def _classes(spark: SparkSession, counts: np.ndarray, classes: DataFrame, texts: DataFrame, shingle: int, threshold: int) -> DataFrame | None:
+    levels, hot = order_levels(counts), hot_cells(counts)
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("print"), F.lit(width(spark)))).otherwise(F.lit(0)).alias("salt")
+    group = Window.partitionBy("token", "salt")
+    rows = texts.mapInArrow(_prefixes(shingle, threshold, levels, hot), "token long, print long, hot boolean").select("token", "print", "hot", salt).repartition(width(spark), "token", "salt")
+    # An n-gram that may be held by very many sets counts as shared without a look.
+    met = rows.withColumn("lo", F.min("print").over(group)).withColumn("hi", F.max("print").over(group)).filter("hot or lo < hi")
+    shared = stored(met.select("token", "salt", "print").distinct().drop("salt"), "shared")
     least = F.expr(f"1 + (({threshold} * n + 99) div 100) * {100 - threshold} div 200")  # surplus of the smallest set that can link
 
     def enough(rows: DataFrame) -> DataFrame:
-        counts = rows.groupBy("print").agg(F.count("*").alias("c"))
-        return counts.join(classes, "print").filter(F.col("c") >= least).select("print", "n", "key")
-
-    alive = enough(shared)
-    again = shared.join(alive.select("print"), "print").withColumn("lo", F.min("print").over(group)).withColumn("hi", F.max("print").over(group)).filter("lo < hi").select("token", "print")
-    alive = stored(enough(again), "alive")
-    count = alive.count()
-    if not count:
+        found = rows.groupBy("print").agg(F.count("*").alias("found"))
+        return found.join(classes, "print").filter(F.col("found") >= least).select("print", "n", "key", least.cast("int").alias("least"))
+
+    def in_groups(rows: DataFrame) -> DataFrame:
+        """Rows of tokens with two sets or more, and how many these have."""
+        rows = stored(rows, "rows")
+        sizes = stored(rows.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"), "sizes")
+        return split_join(rows, sizes, ["token"], "c", rows.count())
+
+    first = stored(enough(shared), "first")
+    again = stored(in_groups(shared.join(first.select("print"), "print")), "again", [shared])
+    alive = stored(enough(again.drop("c")), "alive")
+    if alive.isEmpty():
         return None
-    members = shared.join(alive.select("print", "n"), "print").select("token", "print", "n")
-    members = stored(members, "members")
+    # A linked pair shares ``least`` n-grams of these: without the largest least - 1 groups of each set it still shares one.
+    by_size = Window.partitionBy("print").orderBy(F.desc("c"), F.desc("token"))
+    ranked = again.join(alive.select("print", "n", "least"), "print").withColumn("place", F.row_number().over(by_size)).filter("place >= least").select("token", "print", "n")
+    members = stored(in_groups(ranked).drop("c"), "members", [again])
     ids = alive.select("key", "print")
-    # Ids of at most BROADCAST_IDS documents go to all executors; more are joined by a shuffle.
-    picked = texts.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "key").select("print", "text")
-    whole = stored(picked.mapInArrow(_whole(shingle, levels), "print long, tokens array<long>, sketch array<long>").dropDuplicates(["print"]), "sets")
+    picked = texts.join(F.broadcast(ids) if small(ids, F.lit(32)) else ids, "key").select("print", "text")
+    whole = stored(picked.mapInArrow(_whole(shingle, threshold, levels), "print long, n long, tokens array<long>, path array<int>").dropDuplicates(["print"]), "sets")
     return _linked(members, whole, threshold)
 
 
@@ -419,21 +368,27 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, threshold: int = T
         raise ValueError("threshold is a percentage from 50 to 100")
     spark = docs.sparkSession
     texts = docs.select(doc_key().alias("key"), F.col("text").cast("string").alias("text"))
-    outline = stored(texts.mapInArrow(_outline(shingle), "key long, n long, print long, counts array<long>"), "outline")
-    rows = outline.filter("counts is null").select("key", "n", "print")
-    labels = _classes(spark, outline, texts, shingle, threshold)
-    if labels is None:
-        tied = rows.withColumn("component", F.col("print"))
-    else:
-        tied = rows.join(labels, rows["print"] == labels["node"], "left").select("key", "n", "print", F.coalesce("component", "print").alias("component"))
-    full = tied.filter("n > 0")
-    first = full.groupBy("component").agg(F.min("key").alias("first"))
-    known = full.join(first, "component").select("key", "n", "first").unionByName(tied.filter("n = 0").select("key", "n", F.col("key").alias("first")))
+    outline = stored(texts.mapInArrow(_outline(shingle), f"key long, n long, print long, {schema('bigint')}"), "outline")
+    rows = outline.filter("part is null").select("key", "n", "print")
+    classes = stored(rows.filter("n > 0").groupBy("print").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.count("*").alias("c")), "classes")
+    counts = summed(outline.filter("part is not null").select("part", "total"), CELLS, np.int64, "bigint")
+    labels = _classes(spark, counts, classes.select("print", "key", "n"), texts, shingle, threshold) if counts is not None else None
+    firsts = classes.select("print", "key", "c")
+    if labels is not None:
+        tied = labels.withColumnRenamed("node", "print").unionByName(labels.select(F.col("component").alias("print"), "component").distinct())
+        own = stored(firsts.join(tied, "print").select("print", "component", "key", "c"), "tied")
+        per = stored(own.groupBy("component").agg(F.min("key").alias("first"), F.count("*").alias("n_classes")), "per")
+        moved = split_join(own, per, ["component"], "n_classes", own.count()).select("print", "first")
+        firsts = stored(firsts.join(moved, "print", "left").select("print", F.coalesce("first", "key").alias("key"), "c"), "firsts")
+    # Only rows whose first document is another one need to be told.
+    total = rows.count()
+    known = split_join(rows.filter("n > 0"), firsts.withColumnRenamed("key", "first"), ["print"], "c", total).select("key", "n", "first")
+    known = known.unionByName(rows.filter("n = 0").select("key", "n", F.col("key").alias("first")))
     known_id = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
     return known.select(known_id("key").alias("doc_id"), F.col("n").alias("n_shingles"), known_id("first").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, shingle: int = 5, threshold: int = 80, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the smallest doc_id stays.
 
     Rows that repeat a doc_id share their fate, and stay if one of them is the first of its component.
@@ -442,5 +397,4 @@ def keep_first(docs: DataFrame, shingle: int = 5, threshold: int = 80, broadcast
     key = F.coalesce("doc_id", F.lit(LAST_ID)).alias("__key")
     later = found.groupBy(key).agg(F.min(F.coalesce("component_id", F.lit(LAST_ID)) < F.coalesce("doc_id", F.lit(LAST_ID))).alias("later")).filter("later").select("__key")
     later = stored(later, "later")
-    few = later.count() <= broadcast_ids
-    return docs.withColumn("__key", doc_key()).join(F.broadcast(later) if few else later, "__key", "left_anti").select(*docs.columns)
+    return docs.withColumn("__key", doc_key()).join(F.broadcast(later) if small(later, F.lit(16)) else later, "__key", "left_anti").select(*docs.columns)

@@ -1,12 +1,14 @@
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from attesta.llm import line_dedup, ngram_join, substring_dedup
+from attesta.llm import line_dedup, ngram_join, store, substring_dedup
 from attesta.llm import textscan as ts
 from attesta.llm.components import components
+from attesta.llm.prefix_trie import Forest, search
 
 from . import brute
 
@@ -100,7 +102,7 @@ def test_components(docs, width, threshold, seed):
 
 def test_components_of_near_copies(docs, monkeypatch):
     """One large group of near copies, in blocks, is tied along a tree."""
-    monkeypatch.setattr(ngram_join, "BLOCK", 20)
+    monkeypatch.setattr(ngram_join, "BLOCK", 20 * 128)
     rng = random.Random(8)
     base = [f"v{k}" for k in range(200)]
     rows = []
@@ -118,25 +120,81 @@ def test_keep_first(docs):
     assert ngram_join.ngram_components(docs([])).count() == 0
 
 
-def test_trie_search():
-    rng = np.random.default_rng(0)
-    paths = [np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.int64) for _ in range(80)]
-    trie = ngram_join.Trie(paths, 70)
-    for q in paths[:20]:
-        want = {i for i, p in enumerate(paths) if 100 * len(np.intersect1d(p, q)) >= 70 * len(np.union1d(p, q))}
-        assert set(trie.search(q, lambda _: False)) == want
+def paths_of(sets, threshold):
+    order = {t: k for k, t in enumerate(sorted({t for x in sets for t in x}))}
+    size = np.array([len(x) for x in sets])
+    take = ngram_join.prefix_size(size, threshold)
+    return [np.array(sorted(order[t] for t in x)[:k], np.int32) for x, k in zip(sets, take, strict=True)], size
+
+
+@pytest.mark.parametrize("threshold", [60, 80, 90])
+def test_tree_search(threshold):
+    """Every link is named; a forest ties what links tie; subtrees of the own component are left."""
+    rng = np.random.default_rng(threshold)
+    for _ in range(20):
+        base = [rng.integers(0, 400, rng.integers(1, 60)) for _ in range(6)]
+        sets = [set(np.where(rng.random(len(b)) < 0.08, rng.integers(0, 400, len(b)), b).tolist()) for b in base for _ in range(rng.integers(1, 12))]
+        paths, size = paths_of(sets, threshold)
+        links = {(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j])}
+        every = np.ones(len(sets), bool)
+        label = np.arange(len(sets))
+        i, j = search(paths, size, label, every, every, threshold, False)
+        named = {(max(a, b), min(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+        assert links <= named
+        left = rng.random(len(sets)) < 0.5
+        i, j = search(paths, size, label, left, ~left, threshold, False)
+        assert {(max(a, b), min(a, b)) for a, b in links if left[a] != left[b]} <= {(max(a, b), min(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+        i, j = search(paths, size, label, every, every, threshold, True)
+        assert len(i) < len(sets)
+        parent = Forest(label)
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            parent.tie(a, np.array([b]))
+        assert all(parent.label[a] == parent.label[b] for a, b in links)
+        i, j = search(paths, size, parent.label, every, every, threshold, False)
+        assert not any((max(a, b), min(a, b)) in links for a, b in zip(i.tolist(), j.tolist(), strict=True))
+
+
+def test_tree_of_many_near_copies():
+    """Thousands of near copies are tied without depth of the stack and without comparing all pairs."""
+    rng = np.random.default_rng(3)
+    base = np.arange(1000, 3000)
+    sets = []
+    for k in range(5000):
+        x = base.copy()
+        x[rng.integers(0, 2000, 3)] = 10_000 + 3 * k + np.arange(3)
+        sets.append(np.unique(x))
+    size = np.array([len(x) for x in sets])
+    rare = [np.concatenate([x[x >= 10_000] - 10_000, x[x < 10_000] + 100_000]).astype(np.int32) for x in sets]
+    paths = [x[:k] for x, k in zip(rare, ngram_join.prefix_size(size, 90), strict=True)]
+    every = np.ones(len(sets), bool)
+    began = time.time()
+    i, _ = search(paths, size, np.arange(len(sets)), every, every, 90, True)
+    assert len(i) == 4999 and time.time() - began < 60
+
+
+def test_large_groups_with_stragglers(docs, monkeypatch):
+    """Groups above the block size: a large component in blocks of its own, and others that share its n-grams."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 128 * 9)
+    rng = random.Random(12)
+    base = [f"v{k}" for k in range(60)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        if i % 3:
+            w[rng.randrange(60)] = f"x{i}"
+        else:  # half of the text is the group's, too little for a link
+            w[rng.randrange(20) :] = [f"y{rng.randrange(12)}z{k}" for k in range(40)]
+        rows.append((i, " ".join(w)))
+    assert sorted(map(tuple, ngram_join.ngram_components(docs(rows), 3, 60).collect())) == sorted(brute.components(rows, 3, 60))
 
 
-def test_parity_never_overstates():
-    rng = np.random.default_rng(1)
-    for _ in range(50):
-        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 300), dtype=np.uint64))
-        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 2**63, 5, dtype=np.uint64)]))
-        n = np.array([len(a), len(b)])
-        i, _ = ngram_join.possible(n, [ngram_join.parity(a), ngram_join.parity(b)], 80, np.array([True, False]), np.array([False, True]))
-        both = len(np.intersect1d(a, b))
-        if 100 * both >= 80 * (len(a) + len(b) - both):
-            assert len(i) == 1
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_split_join(spark, monkeypatch, how):
+    monkeypatch.setattr(store, "HOT_KEYS", 4)
+    rows = spark.createDataFrame([(0 if k % 2 else k, k) for k in range(40)], "k long, v long")
+    table = spark.createDataFrame([(k, 20 if k == 0 else 1, k * 10) for k in range(30)], "k long, c long, w long")
+    got = store.split_join(rows, table, ["k"], "c", 40, how).select("k", "v", "w")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, rows.join(table, "k", how).select("k", "v", "w").collect()))
 
 
 def test_components_of_chains(spark):
@@ -157,14 +215,12 @@ def test_scan():
 
 
 def test_groups_of_equal_sums(spark):
-    """Two groups of two whose hashes have the same sum: both pairs are named."""
+    """Two groups of two whose hashes have the same sum: both are looked at."""
     hashes = np.array([r[0] for r in spark.range(6000).selectExpr("xxhash64(id) % (1L << 40)").collect()])
     i, j = np.triu_indices(len(hashes), 1)
     total = hashes[i] + hashes[j]
     order = np.argsort(total)
     k = int(np.flatnonzero(total[order][1:] == total[order][:-1])[0])
     pairs = [(int(i[x]), int(j[x])) for x in order[k : k + 2]]
-    groups = spark.createDataFrame([(t, p, 50, p) for t, pair in enumerate(pairs) for p in pair], "token long, print long, n int, component long")
-    whole = spark.createDataFrame([(p, [0]) for pair in pairs for p in pair], "print long, sketch array<long>")
-    found = ngram_join._candidates(groups, whole, 80, True)
-    assert sorted(map(tuple, found.collect())) == sorted(pairs)
+    members = spark.createDataFrame([(t, p, 50) for t, pair in enumerate(pairs) for p in pair], "token long, print long, n int")
+    assert sorted(map(tuple, ngram_join._open(members, None, 4).select("token", "print").collect())) == sorted((t, p) for t, pair in enumerate(pairs) for p in pair)
