@@ -24,13 +24,19 @@ def share_code(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where spark.checkpoint.dir is unset (one machine) a temporary one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, a run on one machine gets a temporary folder; a cluster must name one.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='attesta-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def new_place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
     return f"{shared_folder(spark)}/attesta/{name}-{uuid.uuid4().hex}"
