@@ -18,8 +18,11 @@
    paraphrase, less of it, but then the answer (the item's last words) nearly
    whole.
 
-The benchmark is taken in blocks of at most ``ITEMS`` items, each a fixed query
-set against all documents, so what is broadcast has a fixed bound.  The latent
+The benchmark is a fixed query set.  The texts are read three times however many
+items it has (up to ``BOOK`` items at a time): for the frequencies, for the places
+of all items' telling words, and for the check.  Steps 3 and 4 take the items in
+blocks of at most ``ITEMS`` and read those places alone, so what is broadcast has
+a fixed bound.  The latent
 space has more directions than a block has items, so it holds each item nearly
 whole; one that loses more than ``LOST`` is looked up on its words.
 
@@ -41,7 +44,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .store import doc_key, stored
+from .adders import schema, slices, summed
+from .store import LAST_ID, doc_key, small, stored
 
 CELLS = 1 << 17
 NEED = 4  # telling words of an item that an accepted text holds at least, if the item is that long
@@ -49,6 +53,7 @@ RANK = 256
 SPARE = 16
 ITEMS = RANK - SPARE  # a block fits into the latent space
 LOST = 1e-3  # share of an item's norm that the latent space may lack
+BOOK = 20_000  # items looked up in one reading of the texts
 EMPHASIS = 512  # times the weight at which items and passages count alike
 BLOCK = 16
 SIZES = (1, 2, 4)  # blocks in a passage
@@ -57,7 +62,6 @@ LCS_FULL = 0.8
 LCS_PARAPHRASE = 0.6
 ANSWER_WORDS = 8
 ANSWER = 0.75
-BROADCAST_DOCS = 300_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = ".,;:!?\"'()[]{}"
@@ -108,26 +112,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = np.unique(chunk.row_of * CELLS + cell)
             total[:CELLS] += np.bincount(seen % CELLS, minlength=CELLS)
             total[CELLS] += chunk.rows
-    yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.int64()))], ["total"])
-
-
-def _add_up(kind: type):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for x in batch.column("total"):
-                own = x.values.to_numpy()
-                total = own.astype(kind) if total is None else total + own
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.from_numpy_dtype(kind)))], ["total"])
-
-    return run
-
-
-def _summed(rows: DataFrame, kind: type, name: str) -> np.ndarray | None:
-    """Sum of equally long arrays, one a task: four tasks add them up, and the driver their four sums."""
-    parts = rows.repartition(4).mapInArrow(_add_up(kind), f"total array<{name}>").toPandas()["total"]
-    return np.sum([np.asarray(x) for x in parts], axis=0) if len(parts) else None
+    yield from slices(total)
 
 
 @dataclass
@@ -145,14 +130,11 @@ class Query:
     answers: np.ndarray  # and its answer
     wide: np.ndarray  # blocks in an item's window
 
-    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the hashes are telling words, and which ones."""
-        table = np.zeros(1 << 16, bool)
-        table[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
-        at = np.flatnonzero(table[(hashes >> np.uint64(48)).astype(np.int64)])
-        i = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
-        own = self.hashes[i] == hashes[at]
-        return at[own], i[own]
+    def own(self, vocabulary: np.ndarray) -> np.ndarray:
+        """The place of each word of a larger vocabulary among the block's, -1 where it isn't one."""
+        out = np.full(len(vocabulary), -1)
+        out[np.searchsorted(vocabulary, self.hashes)] = np.arange(len(self.hashes))
+        return out
 
 
 def missing(n: int, share: float = min(LCS_FULL, LCS_PARAPHRASE)) -> int:
@@ -166,6 +148,13 @@ def window(n: int) -> int:
     return max(3 * size + 1, -(-n // BLOCK) + 2 * size)
 
 
+def telling_words(words: list[str], frequency: np.ndarray) -> np.ndarray:
+    """Hashes of an item's rarest words, in order, as many as any text that passes the check needs to hold NEED of them."""
+    hashes = hash_list(words)
+    rarest = np.argsort(frequency[_cell(hashes)], kind="stable")[: missing(len(words)) + NEED]
+    return hashes[np.isin(hashes, hashes[rarest])]
+
+
 def make_query(items: list[tuple[object, str]], frequency: np.ndarray) -> Query | None:
     n = max(1, int(frequency[CELLS]))
     ids, words, chosen, spare = [], [], [], []
@@ -173,9 +162,7 @@ def make_query(items: list[tuple[object, str]], frequency: np.ndarray) -> Query
         own = words_of(text)
         if not any(own):
             continue
-        hashes = hash_list(own)
-        rarest = np.argsort(frequency[_cell(hashes)], kind="stable")[: missing(len(own)) + NEED]
-        telling = hashes[np.isin(hashes, hashes[rarest])]
+        telling = telling_words(own, frequency)
         ids.append(item)
         words.append(own)
         chosen.append(telling)
@@ -198,26 +185,35 @@ def make_query(items: list[tuple[object, str]], frequency: np.ndarray) -> Query
     return Query(ids, words, vocabulary, weights, rows, bounds, min(spare), counts, answers, np.array([window(len(w)) for w in words]))
 
 
-def _find(query: Query):
-    """Where telling words stand: (key, places, terms) of each document that has enough for an item."""
+def _find(vocabulary: np.ndarray, least: int):
+    """Where telling words stand: (key, places, terms) of each document that has ``least`` of them."""
+    table = np.zeros(1 << 16, bool)
+    table[(vocabulary >> np.uint64(48)).astype(np.int64)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("key").to_numpy()
             for chunk in ts.scan(batch.column("text"), lower=True):
-                at, term = query.hits(word_hashes(chunk))
+                hashes = word_hashes(chunk)
+                at = np.flatnonzero(table[(hashes >> np.uint64(48)).astype(np.int64)])
+                term = np.minimum(np.searchsorted(vocabulary, hashes[at]), len(vocabulary) - 1)
+                own = vocabulary[term] == hashes[at]
+                at, term = at[own], term[own]
                 row = chunk.row_of[at]
                 counts = np.bincount(row, minlength=chunk.rows)
-                own = np.flatnonzero(counts >= query.least)
-                good = counts[row] >= query.least
+                own = np.flatnonzero(counts >= least)
+                good = counts[row] >= least
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[own + chunk.first]), ts.long_lists((at - chunk.edges[row])[good], counts[own]), ts.long_lists(term[good], counts[own])],
+                    [pa.array(keys[own + chunk.first]), ts.long_lists((at - chunk.edges[row])[good].astype(np.int32), counts[own]), ts.long_lists(term[good].astype(np.int32), counts[own])],
                     ["key", "places", "terms"],
                 )
 
     return run
 
 
+HITS = "key long, places array<int>, terms array<int>"
+
+
 def _multiply(passage: np.ndarray, term: np.ndarray, dense: np.ndarray, n: int) -> np.ndarray:
     """Rows of the TF-IDF matrix times a dense matrix that has the words' weights in it; passages are in order."""
     out = np.zeros((n, dense.shape[1]), np.float32)
@@ -228,24 +224,32 @@ def _multiply(passage: np.ndarray, term: np.ndarray, dense: np.ndarray, n: int)
     return out
 
 
-def _blocks(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The documents' blocks up to their last telling word, one document after another: where each document begins, entries' block, entries' term."""
-    counts = batch.column("places").value_lengths().to_numpy()
-    block = batch.column("places").flatten().to_numpy() // BLOCK
+def _blocks(batch: pa.RecordBatch, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The documents' blocks up to their last telling word, one document after another: where each document begins, entries' block, entries' term.
+
+    ``own`` is Query.own() of the vocabulary the batch was made with.
+    """
+    counts = batch.column("places").value_lengths().to_numpy().astype(np.int64)
+    block = batch.column("places").flatten().to_numpy().astype(np.int64) // BLOCK
+    term = own[batch.column("terms").flatten().to_numpy()]
+    good = term >= 0
+    if not good.all():
+        row = np.repeat(np.arange(len(counts)), counts)[good]
+        counts, block, term = np.bincount(row, minlength=len(counts)), block[good], term[good]
     n = np.zeros(len(counts), np.int64)
     n[counts > 0] = block[np.cumsum(counts)[counts > 0] - 1] + 1
     base = np.concatenate([[0], np.cumsum(n)])
-    return base, np.repeat(base[:-1], counts) + block, batch.column("terms").flatten().to_numpy()
+    return base, np.repeat(base[:-1], counts) + block, term
 
 
-def _gram(query: Query, dense: np.ndarray):
+def _gram(query: Query, dense: np.ndarray, own_terms: np.ndarray):
     """The task's rows, of two blocks each, times ``dense`` and back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(dense.shape, np.float64)
         weighed = dense * query.weights[:, None]
         for batch in batches:
-            base, at, term = _blocks(batch)
+            base, at, term = _blocks(batch, own_terms)
             inner = np.ones(base[-1] + 1, np.float32)  # whether the block before is of the same document
             inner[base] = 0
             for a in range(0, base[-1], PIECE):
@@ -262,19 +266,20 @@ def _gram(query: Query, dense: np.ndarray):
                     x, z = starts[s], starts[s + 256] if s + 256 < len(starts) else len(t)
                     own = t[starts[s : s + 256]]
                     total[own] += np.add.reduceat(y[at[lo:hi][order[x:z]] - a], starts[s : s + 256] - x, axis=0) * query.weights[own, None]
-        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["total"])
+        yield from slices(total.ravel())
 
     return run
 
 
-def latent(hits: DataFrame, query: Query, seed: int = 11, turns: int = 2) -> np.ndarray:
+def latent(hits: DataFrame, query: Query, own_terms: np.ndarray | None = None, seed: int = 11, turns: int = 2) -> np.ndarray:
     """Leading right singular vectors (words, rank) of the passages of corpus and benchmark together."""
+    own_terms = query.own(query.hashes) if own_terms is None else own_terms
     wide = min(len(query.hashes), len(query.ids) + SPARE)
     basis = np.random.default_rng(seed).normal(size=(len(query.hashes), wide)).astype(np.float32)
     emphasis = np.float32(EMPHASIS * max(1.0, np.sqrt(hits.count() / len(query.ids))))  # the few items weigh more than the many passages, so that they lie in the space whole
     own = query.rows * emphasis
     for turn in range(turns):
-        total = _summed(hits.mapInArrow(_gram(query, basis), "total array<double>"), np.float64, "double")
+        total = summed(hits.mapInArrow(_gram(query, basis, own_terms), schema("double")), basis.size, np.float64, "double")
         image = own.T @ (own @ basis) + (0 if total is None else total.reshape(basis.shape))
         if turn + 1 < turns:
             basis = np.linalg.qr(image)[0].astype(np.float32)
@@ -304,7 +309,7 @@ def _enough(query: Query):
     return test
 
 
-def _search(query: Query, vectors: np.ndarray):
+def _search(query: Query, vectors: np.ndarray, own_terms: np.ndarray):
     """Candidates: (key, items, first and last block from which a window begins)."""
     target = query.rows @ vectors
     lost = np.linalg.norm(query.rows - target @ vectors.T, axis=1)
@@ -321,7 +326,7 @@ def _search(query: Query, vectors: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("key").to_numpy()
-            base, at, term = _blocks(batch)
+            base, at, term = _blocks(batch, own_terms)
             owner = np.repeat(np.arange(len(keys)), np.diff(base))
             out = []
             for a in range(0, base[-1], PIECE):
@@ -372,26 +377,28 @@ def judge(item: list[str], text: list[str]) -> tuple[bool, float, float]:
     return share >= LCS_FULL or (share >= LCS_PARAPHRASE and known >= ANSWER), share, known
 
 
-def _check(query: Query):
+def _check(items: dict[int, tuple[str, list[str], int]]):
+    """(key, item, share, answer) of the items that a document's windows hold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = {"key": [], "item": [], "share": [], "answer": []}
             for key, text, spans in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 raw, best = _WORD.findall(text), {}
                 words = [""] * len(raw)  # only those of candidates are looked at
-                for lo, hi in {(s["lo"] * BLOCK, (s["hi"] + int(query.wide[s["item"]])) * BLOCK) for s in spans}:
+                for lo, hi in {(s["lo"] * BLOCK, (s["hi"] + items[s["item"]][2]) * BLOCK) for s in spans}:
                     words[lo:hi] = [w.translate(_LOWER).strip(_EDGE) for w in raw[lo:hi]]
                 for s in spans:
-                    item, wide = s["item"], int(query.wide[s["item"]])
-                    if lcs(query.words[item], words[s["lo"] * BLOCK : (s["hi"] + wide) * BLOCK]) / len(query.words[item]) < min(LCS_FULL, LCS_PARAPHRASE):
+                    _, item, wide = items[s["item"]]
+                    if lcs(item, words[s["lo"] * BLOCK : (s["hi"] + wide) * BLOCK]) / len(item) < min(LCS_FULL, LCS_PARAPHRASE):
                         continue  # then no window in it has more
                     for b in range(s["lo"], s["hi"] + 1):
-                        good, share, known = judge(query.words[item], words[b * BLOCK : (b + wide) * BLOCK])
-                        if good and share > best.get(item, (0, 0))[0]:
-                            best[item] = (share, known)
-                for item, (share, known) in best.items():
+                        good, share, known = judge(item, words[b * BLOCK : (b + wide) * BLOCK])
+                        if good and share > best.get(s["item"], (0, 0))[0]:
+                            best[s["item"]] = (share, known)
+                for number, (share, known) in best.items():
                     out["key"].append(key)
-                    out["item"].append(str(query.ids[item]))
+                    out["item"].append(items[number][0])
                     out["share"].append(share)
                     out["answer"].append(known)
             yield pa.RecordBatch.from_arrays(
@@ -401,43 +408,53 @@ def _check(query: Query):
     return run
 
 
-def _one_block(texts: DataFrame, items: list[tuple[object, str]], frequency: np.ndarray) -> DataFrame | None:
-    query = make_query(items, frequency)
-    if query is None:
+_FOUND = "key long, item string, share double, answer double"
+
+
+def _one_book(texts: DataFrame, items: list[tuple[object, str]], frequency: np.ndarray) -> DataFrame | None:
+    """Matches of up to BOOK items."""
+    queries = [items[a : a + ITEMS] for a in range(0, len(items), ITEMS)]
+    kept, least = [], 0
+    for block in queries:
+        query = make_query(block, frequency)
+        if query is not None:
+            kept.append((block, query.hashes))
+            least = min(least or query.least, query.least)
+    if not kept:
         return None
-    hits = stored(texts.mapInArrow(_find(query), "key long, places array<long>, terms array<long>"), "hits")
-    vectors = latent(hits, query)
-    found = hits.mapInArrow(_search(query, vectors), "key long, item long, lo long, hi long")
-    spans = stored(found.groupBy("key").agg(F.collect_set(F.struct("item", "lo", "hi")).alias("spans")), "spans")
-    # Spans of at most BROADCAST_DOCS documents go to all executors; more are joined by a shuffle.
-    few = spans.count() <= BROADCAST_DOCS
+    vocabulary = np.unique(np.concatenate([h for _, h in kept]))
+    hits = stored(texts.mapInArrow(_find(vocabulary, least), HITS), "hits")
+    spans, known = None, {}
+    for number, (block, _) in enumerate(kept):
+        query = make_query(block, frequency)
+        own = query.own(vocabulary)
+        found = hits.mapInArrow(_search(query, latent(hits, query, own), own), "key long, item long, lo long, hi long")
+        found = found.withColumn("item", F.col("item") + number * ITEMS)
+        known |= {number * ITEMS + k: (str(i), w, int(b)) for k, (i, w, b) in enumerate(zip(query.ids, query.words, query.wide, strict=True))}
+        spans = stored(found, "found") if spans is None else spans.unionByName(stored(found, "found"))
+    spans = stored(spans.groupBy("key").agg(F.collect_set(F.struct("item", "lo", "hi")).alias("spans")), "spans", [hits])
+    # Spans of few bytes go to all executors; more are joined by a shuffle.
+    few = small(spans, F.size("spans") * 24 + 16)
     checked = texts.join(F.broadcast(spans) if few else spans, "key").select("key", "text", "spans")
-    return stored(checked.mapInArrow(_check(query), "key long, item string, share double, answer double"), "matches")
+    return stored(checked.mapInArrow(_check(known), _FOUND), "matches")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(key, item, share, answer): which documents hold which benchmark items."""
     spark: SparkSession = docs.sparkSession
     texts = docs.select(doc_key().alias("key"), F.col("text").cast("string").alias("text"))
-    frequency = _summed(texts.select("text").mapInArrow(_frequencies, "total array<bigint>"), np.int64, "bigint")
+    frequency = summed(texts.select("text").mapInArrow(_frequencies, schema("bigint")), CELLS + 1, np.int64, "bigint")
     frequency = np.zeros(CELLS + 1, np.int64) if frequency is None else frequency
     items = benchmark.filter("text is not null").select(F.col("item_id").alias("item"), F.col("text").cast("string").alias("text")).orderBy("item", "text")
-    found, block = [], []
-
-    def close() -> None:
-        done = _one_block(texts, block, frequency)
-        if done is not None:
-            found.append(done)
-
-    for row in items.toLocalIterator():  # never more than a block at a time
-        block.append((row["item"], row["text"]))
-        if len(block) == ITEMS:
-            close()
-            block = []
-    if block:
-        close()
+    found, book = [], []
+    for row in items.toLocalIterator():  # never more than a book at a time
+        book.append((row["item"], row["text"]))
+        if len(book) == BOOK:
+            found.append(_one_book(texts, book, frequency))
+            book = []
+    found = [f for f in (*found, _one_book(texts, book, frequency)) if f is not None]
     if not found:
-        return spark.createDataFrame([], "key long, item string, share double, answer double")
+        return spark.createDataFrame([], _FOUND)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -445,14 +462,15 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document that holds a benchmark item: doc_id, n_items, items, share of the item it holds most of."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc_key().alias("key"))
+    """One row per document that holds a benchmark item: doc_id, n_items, items, share of the item it holds most of.
+
+    Rows that repeat a doc_id, null among them, give one row together.
+    """
     per = matches(docs, benchmark).groupBy("key").agg(F.countDistinct("item").alias("n_items"), F.sort_array(F.collect_set("item")).alias("items"), F.max("share").alias("share"))
-    return ids.distinct().join(per, "key").select("doc_id", "n_items", F.array_join("items", ",").alias("items"), "share")
+    return per.select(F.when(F.col("key") != LAST_ID, F.col("key")).alias("doc_id"), "n_items", F.array_join("items", ",").alias("items"), "share")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark item, with all their columns."""
     bad = stored(matches(docs, benchmark).select(F.col("key").alias("__key")).distinct(), "contaminated")
-    few = bad.count() <= BROADCAST_DOCS
-    return docs.withColumn("__key", doc_key()).join(F.broadcast(bad) if few else bad, "__key", "left_anti").select(*docs.columns)
+    return docs.withColumn("__key", doc_key()).join(F.broadcast(bad) if small(bad, F.lit(16)) else bad, "__key", "left_anti").select(*docs.columns)

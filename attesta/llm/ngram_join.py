@@ -25,6 +25,8 @@ How sets meet:
    more n-gram in common than that.  Groups with the same members are looked at
    once.  In a group above the block size, members of a component that fills
    blocks of its own never meet one another.
+   A pair that a tree names must also pass by its parity sketches (each n-gram
+   flips one bit), which bound the difference of two sets from below.
 5. Every pair named is checked on the whole sets.
 
 The global order needs frequencies, and these come from a sketch of fixed size
@@ -172,8 +174,42 @@ def _prefixes(shingle: int, threshold: int, levels: np.ndarray, hot: np.ndarray,
     return run
 
 
+def parity(gram: np.ndarray) -> np.ndarray:
+    """A bit field of about two bits an n-gram; each n-gram flips one."""
+    words = 1 << max(0, (len(gram) - 1) // 64).bit_length()
+    bits = np.bincount((gram & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def near_parity(n: np.ndarray, sketches: list[np.ndarray], threshold: int):
+    """A test of which sets may link with a set, as the bits that differ in their parity fields are a part of the n-grams that differ."""
+    width = np.array([len(x) for x in sketches])
+    stacks = {w: np.stack([sketches[i] for i in np.flatnonzero(width == w)]) for w in np.unique(width)}
+    place = np.zeros(len(sketches), np.int64)
+    for w in stacks:
+        place[width == w] = np.arange((width == w).sum())
+
+    def folded(x: np.ndarray, to: int) -> np.ndarray:
+        while x.shape[-1] > to:
+            half = x.shape[-1] // 2
+            x = x[..., :half] ^ x[..., half:]
+        return x
+
+    def may(others: np.ndarray, one: int) -> np.ndarray:
+        out = np.zeros(len(others), bool)
+        for w in np.unique(width[others]):
+            at = np.flatnonzero(width[others] == w)
+            to = min(w, width[one])
+            gap = np.bitwise_count((folded(stacks[w][place[others[at]]], to) ^ folded(sketches[one], to)).view(np.uint64)).sum(1, dtype=np.int64)
+            both = n[others[at]] + n[one]
+            out[at] = gap <= both - 2 * required(both, 0, threshold)
+        return out
+
+    return may
+
+
 def _whole(shingle: int, threshold: int, levels: np.ndarray):
-    """(print, n, tokens, path): the ordered sets, and the tree's path of each, which is its beginning by the tokens' upper 31 bits."""
+    """(print, n, tokens, path, sketch): the ordered sets, the tree's path of each, which is its beginning by the tokens' upper 31 bits, and its parity field."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +222,8 @@ def _whole(shingle: int, threshold: int, levels: np.ndarray):
                 take = prefix_size(size, threshold)
                 inner = np.arange(int(take.sum())) - np.repeat(np.cumsum(take) - take, take)
                 path = (key[np.repeat(edges[:-1], take) + inner] >> 32).astype(np.int32)
-                out = pa.RecordBatch.from_arrays([pa.array(prints), pa.array(size), ts.long_lists(key, size), ts.long_lists(path, take)], ["print", "n", "tokens", "path"])
+                sketch = pa.array([parity(gram[a:b]) for a, b in pairwise(edges.tolist())], pa.list_(pa.int64()))
+                out = pa.RecordBatch.from_arrays([pa.array(prints), pa.array(size), ts.long_lists(key, size), ts.long_lists(path, take), sketch], ["print", "n", "tokens", "path", "sketch"])
                 yield out.filter(pa.array(prints == wanted[chunk.first : chunk.first + chunk.rows]))
 
     return run
@@ -204,7 +241,7 @@ def _search(threshold: int, forest: bool):
     def run(table: pa.Table) -> pa.Table:
         batch = table.combine_chunks().to_batches()[0]
         own, side, label, n = (batch.column(c).to_numpy() for c in ("print", "side", "component", "n"))
-        i, j = search(_lists(batch, "path"), n, label, side != 1, side != 0, threshold, forest)
+        i, j = search(_lists(batch, "path"), n, label, side != 1, side != 0, threshold, forest, near_parity(n, _lists(batch, "sketch"), threshold))
         return pa.table({"leader": pa.array(np.minimum(own[i], own[j])), "print": pa.array(np.maximum(own[i], own[j]))})
 
     return run
@@ -256,7 +293,8 @@ def _tied(homes: DataFrame, whole: DataFrame, threshold: int) -> DataFrame | Non
         if not state["c"]:
             break
         dealt = split_join(homes, sizes, ["token"], "c", state["c"]).withColumn("cell", F.pmod(F.xxhash64("print"), F.col("cells")))
-        rows = dealt.select("token", "cell", "print", "component", F.lit(2).alias("side")).join(whole.select("print", "n", "path"), "print")
+        rows = dealt.select("token", "cell", "print", "component", F.lit(2).alias("side")).join(whole.select("print", "n", "path", "sketch"), "print")
+        rows = rows.repartition(width(whole.sparkSession), "token", "cell")  # small rows, much work: not to be put together by size
         pairs = stored(rows.groupBy("token", "cell").applyInArrow(_search(threshold, True), _SEARCHED).distinct(), "pairs")
         more = _verified(pairs, whole, threshold)
         links = more if links is None else stored(links.unionByName(more), "links", [links, more])
@@ -319,7 +357,8 @@ def _linked(members: DataFrame, whole: DataFrame, threshold: int) -> DataFrame |
     homes = members.groupBy("print", "n").agg(F.slice(ranked, 1, HOMES).alias("homes")).select("print", "n", F.explode("homes.token").alias("token"))
     links = _tied(stored(homes.withColumn("component", F.col("print")), "homes"), whole, threshold)
     labels = components(links) if links is not None and not links.isEmpty() else None
-    rows = _cells(_open(members, labels, members.count())).join(whole.select("print", "n", "path"), "print")
+    rows = _cells(_open(members, labels, members.count())).join(whole.select("print", "n", "path", "sketch"), "print")
+    rows = rows.repartition(width(whole.sparkSession), "token", "i", "j")  # small rows, much work: not to be put together by size
     pairs = stored(rows.groupBy("token", "i", "j").applyInArrow(_search(threshold, False), _SEARCHED).distinct(), "pairs")
     rest = _verified(pairs, whole, threshold)
     if rest.isEmpty():
@@ -358,7 +397,7 @@ def _classes(spark: SparkSession, counts: np.ndarray, classes: DataFrame, texts:
     members = stored(in_groups(ranked).drop("c"), "members", [again])
     ids = alive.select("key", "print")
     picked = texts.join(F.broadcast(ids) if small(ids, F.lit(32)) else ids, "key").select("print", "text")
-    whole = stored(picked.mapInArrow(_whole(shingle, threshold, levels), "print long, n long, tokens array<long>, path array<int>").dropDuplicates(["print"]), "sets")
+    whole = stored(picked.mapInArrow(_whole(shingle, threshold, levels), "print long, n long, tokens array<long>, path array<int>, sketch array<long>").dropDuplicates(["print"]), "sets")
     return _linked(members, whole, threshold)
 
 

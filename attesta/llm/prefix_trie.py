@@ -9,6 +9,8 @@ and serves every path below.  Nothing recurses.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 LAST = np.int32(2**31 - 1)
@@ -46,7 +48,7 @@ def neighbours(paths: list[np.ndarray], order: list[int]) -> np.ndarray:
     return out
 
 
-def search(paths: list[np.ndarray], sizes: np.ndarray, label: np.ndarray, asks: np.ndarray, held: np.ndarray, threshold: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
+def search(paths: list[np.ndarray], sizes: np.ndarray, label: np.ndarray, asks: np.ndarray, held: np.ndarray, threshold: int, forest: bool, may: Callable[[np.ndarray, int], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, set) of different components that may link.
 
     ``paths`` are the beginnings of globally ordered sets of ``sizes`` tokens; the
@@ -54,7 +56,8 @@ def search(paths: list[np.ndarray], sizes: np.ndarray, label: np.ndarray, asks:
     queries.  A pair is left out only if its overlap can't reach what a link
     needs: sets of unequal size, or too few common tokens in what was read to
     make it up in what remains of the shorter side.  A subtree that lies in the
-    query's own component is left.  With ``forest``, pairs count as links at once
+    query's own component is left.  At a path's end, ``may`` can tell which of the
+queries left aren't ruled out by a bound of its own.  With ``forest``, pairs count as links at once
     and only those that unite components are returned.
     """
     none = np.zeros(0, np.int64)
@@ -105,6 +108,8 @@ def search(paths: list[np.ndarray], sizes: np.ndarray, label: np.ndarray, asks:
             fits = (100 * m >= threshold * n[alive]) & (100 * n[alive] >= threshold * m) & (overlap + m - end >= required(n[alive], m, threshold))
             near = queries[alive[fits]]
             near = near[components.label[near] != components.label[one]]
+            if may is not None and len(near):
+                near = near[may(near, one)]
             if len(near):
                 if forest:
                     near = components.tie(one, near)

@@ -172,6 +172,17 @@ def test_tree_of_many_near_copies():
     assert len(i) == 4999 and time.time() - began < 60
 
 
+def test_parity_never_overstates():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 300), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 2**63, 5, dtype=np.uint64)]))
+        may = ngram_join.near_parity(np.array([len(a), len(b)]), [ngram_join.parity(a), ngram_join.parity(b)], 80)
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 80 * (len(a) + len(b) - both):
+            assert may(np.array([0]), 1).all() and may(np.array([1]), 0).all()
+
+
 def test_large_groups_with_stragglers(docs, monkeypatch):
     """Groups above the block size: a large component in blocks of its own, and others that share its n-grams."""
     monkeypatch.setattr(ngram_join, "BLOCK", 128 * 9)

@@ -202,7 +202,7 @@ def test_many_items(spark):
     rows, items = many(random.Random(19))
     texts = spark.createDataFrame(rows, "doc_id long, text string").select(doc_key().alias("key"), "text")
     query = D.make_query(items[: min(D.ITEMS, 200)], np.full(D.CELLS + 1, 3) + np.array([0] * D.CELLS + [1000]))
-    v = D.latent(texts.mapInArrow(D._find(query), "key long, places array<long>, terms array<long>"), query)
+    v = D.latent(texts.mapInArrow(D._find(query.hashes, query.least), D.HITS), query)
     kept = np.linalg.norm(query.rows @ v, axis=1) / np.linalg.norm(query.rows, axis=1)
     assert kept.min() > 0.999
 
@@ -219,6 +219,7 @@ def test_many_items_found(spark, monkeypatch, rank):
 
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(D, "ITEMS", 4)
+    monkeypatch.setattr(D, "BOOK", 8)
     rng = random.Random(7)
     items = benchmark(rng, 10)
     docs = spark.createDataFrame([(k, prose(rng, "en", 50) + " " + items[k % 10][1]) for k in range(20)], "doc_id long, text string")
@@ -226,6 +227,28 @@ def test_items_in_blocks(spark, monkeypatch):
     assert got == {k: str(k % 10) for k in range(20)}
 
 
+def test_items_of_all_lengths(spark):
+    """Items of 1 to 1,200 words, as they are and reworded, in documents of one partition each and in empty partitions: all that judge() accepts."""
+    rng = random.Random(23)
+    sizes = (1, 2, 3, 7, 30, 64, 200, 213, 400, 700, 1200)
+    items = [(n, " ".join(f"i{n}w{rng.randint(0, 3 * n)}" if rng.random() < 0.5 else f"c{rng.randint(0, 300)}" for _ in range(n - 1)) + f" last{n}") for n in sizes]
+    rows = []
+    for k, (n, item) in enumerate(items * 3):
+        w = item.split()
+        if k >= len(items):  # a tenth, then a third of the words replaced, the answer kept
+            for j in rng.sample(range(max(0, n - 8)), max(0, n - 8) * (10 if k < 2 * len(items) else 33) // 100):
+                w[j] = f"other{j}"
+        around = [f"c{rng.randint(0, 300)}" for _ in range(rng.choice([0, 40, 700]))]
+        rows.append((k, " ".join([*around[::2], *w, *around[1::2]])))
+    rows += [(200 + k, " ".join(f"c{rng.randint(0, 300)}" for _ in range(400))) for k in range(20)]
+    rows += [(300, f"i30w{rng.randint(0, 90)} " + "filler " * 300 + "last30"), (301, None), (302, "")]
+    want = held(rows, items)
+    assert {i for i, _ in want} >= set(range(2 * len(items)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(len(rows) + 5, "doc_id")
+    got = D.matches(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["key"], r["item"]) for r in got.collect()} == want
+
+
 def test_lcs():
     rng = random.Random(8)
     for _ in range(200):
@@ -252,7 +275,7 @@ def test_singular_vectors(spark):
     rng = random.Random(9)
     items = benchmark(rng, 8)
     query = D.make_query(items, np.full(D.CELLS + 1, 3) + np.array([0] * D.CELLS + [1000]))
-    hits = spark.createDataFrame([], "key long, places array<long>, terms array<long>")
+    hits = spark.createDataFrame([], D.HITS)
     v = D.latent(hits, query)
     assert np.allclose(v.T @ v, np.eye(v.shape[1]), atol=1e-3)
     kept = np.linalg.norm(query.rows @ v, axis=1) / np.linalg.norm(query.rows, axis=1)
