@@ -85,3 +85,20 @@ def bisect_equal_error(first: Column, last: Column, gap, turns: int = 60) -> Col
         return F.struct(F.when(up, acc["a"]).otherwise(middle).alias("a"), F.when(up, middle).otherwise(acc["b"]).alias("b"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(turns)), start, step, lambda acc: (acc["a"] + acc["b"]) / 2)
+
+
+def capped_pairs(rows: DataFrame, group: str, key: str, identity: str, cap: int) -> DataFrame:
+    """(group, a, b): pairs a < b of different identity within a group, in order, by an even stride at most ``cap`` of them a group.
+
+    Pairs are counted by ranks and only the chosen ones are made, so the work is at most cap times the group.
+    """
+    order, same = Window.partitionBy(group).orderBy(key), Window.partitionBy(group, identity).orderBy(key)
+    n, own = F.count("*").over(Window.partitionBy(group)), F.count("*").over(Window.partitionBy(group, identity))
+    ranked = rows.select(group, key, identity, F.row_number().over(order).alias("place"), ((n - F.row_number().over(order)) - (own - F.row_number().over(same))).alias("c"))
+    placed = ranked.withColumn("before", F.sum("c").over(order) - F.col("c")).withColumn("step", F.greatest(F.lit(1), F.floor(F.sum("c").over(Window.partitionBy(group)) / cap)).cast("long"))
+    first = (F.ceil(F.col("before") / F.col("step")) * F.col("step")).cast("long")
+    last = F.least(F.col("before") + F.col("c") - 1, F.col("step") * cap - 1)
+    chosen = placed.filter(first <= last).select(group, F.col(key).alias("a"), F.col(identity).alias("__who"), F.col("place").alias("__place"), F.transform(F.sequence(first, last, F.col("step")), lambda k: k - F.col("before") + 1).alias("__wanted"))
+    later = chosen.join(ranked.select(group, F.col(key).alias("b"), identity, "place"), group).filter((F.col("place") > F.col("__place")) & (F.col(identity) != F.col("__who")))
+    nth = F.row_number().over(Window.partitionBy(group, "a").orderBy("place")).cast("long")
+    return later.withColumn("__nth", nth).filter(F.array_contains("__wanted", F.col("__nth"))).select(group, "a", "b")

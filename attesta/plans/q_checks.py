@@ -61,7 +61,7 @@ SELECT person_id, 'composite', {d_check_digit("(substr(z2, 1, 10) || substr(z2,
 @query("P22_mrz_check_digits", f"WITH {PARTS} {_DIGITS}")
 def p22(t: Tables) -> DataFrame:
     """One row for each check digit of each zone."""
-    digits = strips(t).select("person_id", F.explode(M.parse(F.col("strip"), today())["check_digits"]).alias("d"))
+    digits = strips(t).select("person_id", F.explode(M.check_fields(F.col("strip"))).alias("d"))
     return digits.select("person_id", "d.field", M.verify(F.col("d.value"), F.col("d.digit")).alias("ok"))
 
 
@@ -94,11 +94,15 @@ def f11(t: Tables) -> DataFrame:
 _VERHOEFF = "list_reduce(list_prepend(0, list_transform(range(0, length({x})), lambda i: CAST(substr('{p}', CAST((i + {s}) % 8 * 10 + CAST(substr({x}, CAST(length({x}) - i AS INT), 1) AS INT) + 1 AS INT), 1) AS INT))), lambda a, b: CAST(substr('{d}', CAST(a * 10 + b + 1 AS INT), 1) AS INT))"
 
 
+def _digits(rows: list[list[int]]) -> str:
+    return "".join(str(n) for row in rows for n in row)
+
+
 def d_verhoeff(x: str, shift: int) -> str:
-    return _VERHOEFF.format(x=x, s=shift, p="".join(C.VERHOEFF_P), d="".join(C.VERHOEFF_D))
+    return _VERHOEFF.format(x=x, s=shift, p=_digits(C.VERHOEFF_P), d=_digits(C.VERHOEFF_D))
 
 
-_AADHAAR = f"""numbers AS (SELECT person_id, CASE WHEN person_id % 7 = 0 THEN substr(digits11, 1, 10) || CAST((CAST(substr(digits11, 11) AS INT) + 1) % 10 AS STRING) ELSE digits11 END || substr('{C.VERHOEFF_INVERSE}', {d_verhoeff("digits11", 1)} + 1, 1) AS number FROM people)"""
+_AADHAAR = f"""numbers AS (SELECT person_id, CASE WHEN person_id % 7 = 0 THEN substr(digits11, 1, 10) || CAST((CAST(substr(digits11, 11) AS INT) + 1) % 10 AS STRING) ELSE digits11 END || substr('{_digits([C.VERHOEFF_INVERSE])}', {d_verhoeff("digits11", 1)} + 1, 1) AS number FROM people)"""
 
 
 def aadhaars(t: Tables) -> DataFrame:
@@ -115,8 +119,8 @@ def f12(t: Tables) -> DataFrame:
 @query(
     "P23_check_aadhaar",
     f"""WITH {_AADHAAR}, v AS (SELECT *, {d_verhoeff("number", 0)} = 0 AS good FROM numbers)
-SELECT person_id, length(number) = 12 AND number[1] NOT IN ('0', '1') AND good AS ok, CASE WHEN length(number) <> 12 THEN 'Aadhaar number has ' || length(number) || ' digits, not 12' WHEN number[1] IN ('0', '1') THEN 'Aadhaar numbers do not begin with 0 or 1'
- WHEN NOT good THEN 'The Aadhaar check digit does not match the other eleven' ELSE 'Aadhaar check digit ' || number[12] || ' is correct' END AS detail FROM v""",
+SELECT person_id, length(number) = 12 AND number[1] NOT IN ('0', '1') AND good AS ok, CASE WHEN length(number) <> 12 THEN 'Wrong length of an Aadhaar number: ' || length(number) || ' digits' WHEN number[1] IN ('0', '1') THEN 'First digit not allowed in an Aadhaar number'
+ WHEN NOT good THEN 'Aadhaar number with a wrong last digit' ELSE 'Aadhaar number ends with its check digit, ' || number[12] END AS detail FROM v""",
 )
 def p23(t: Tables) -> DataFrame:
     ok, detail = C.check_aadhaar(F.col("number"))
@@ -129,9 +133,9 @@ _PAN = "SELECT person_id, surname, upper(substr(given, 1, 3)) || CASE person_id
 @query(
     "F13_check_pan",
     f"""WITH p AS ({_PAN}), q AS (SELECT *, regexp_matches(pan, '^[A-Z]{{5}}[0-9]{{4}}[A-Z]$') AS form, pan[4] IN ('P','C','H','A','B','G','J','L','F','T') AS held, pan[5] = surname[1] AS same FROM p)
-SELECT person_id, form AND held AND same AS ok, CASE WHEN NOT form THEN 'PAN ' || pan || ' does not follow the five-letter, four-digit, one-letter format' WHEN NOT held THEN 'PAN holder-type character ' || pan[4] || ' is not a recognised category'
- WHEN NOT same THEN 'PAN fifth character ' || pan[5] || ' does not match the first letter of the surname ' || surname
- ELSE 'PAN format valid, holder type ' || CASE pan[4] WHEN 'P' THEN 'individual' WHEN 'C' THEN 'company' ELSE 'Hindu undivided family' END || ', fifth character matches the surname ' || surname END AS detail FROM q""",
+SELECT person_id, form AND held AND same AS ok, CASE WHEN NOT form THEN 'Not the form of a PAN: ' || pan WHEN NOT held THEN 'No holder of a PAN has the letter ' || pan[4]
+ WHEN NOT same THEN 'PAN of another surname than ' || surname || ': its letter is ' || pan[5]
+ ELSE 'PAN of a holder of type ' || CASE pan[4] WHEN 'P' THEN 'individual' WHEN 'C' THEN 'company' ELSE 'Hindu undivided family' END || ' named ' || surname END AS detail FROM q""",
 )
 def f13_pan(t: Tables) -> DataFrame:
     from .views import VIEWS
@@ -144,7 +148,7 @@ def f13_pan(t: Tables) -> DataFrame:
 @query(
     "F13_check_epic",
     """WITH e AS (SELECT person_id, substr(surname, 1, 3) || lpad(CAST(person_id * 7919 % 10000000 AS STRING), CASE WHEN person_id % 8 = 0 THEN 6 ELSE 7 END, '0') AS epic FROM people)
-SELECT person_id, regexp_matches(epic, '^[A-Z]{3}[0-9]{7}$') AS ok, CASE WHEN regexp_matches(epic, '^[A-Z]{3}[0-9]{7}$') THEN 'Voter ID follows the EPIC format, constituency code ' || substr(epic, 1, 3) ELSE 'Voter ID ' || epic || ' does not follow the three-letter, seven-digit EPIC format' END AS detail FROM e""",
+SELECT person_id, regexp_matches(epic, '^[A-Z]{3}[0-9]{7}$') AS ok, CASE WHEN regexp_matches(epic, '^[A-Z]{3}[0-9]{7}$') THEN 'Voter number of constituency ' || substr(epic, 1, 3) ELSE 'Not the form of a voter number: ' || epic END AS detail FROM e""",
 )
 def f13_epic(t: Tables) -> DataFrame:
     serial = (F.col("person_id") * 7919 % 10000000).cast("string")
@@ -161,8 +165,8 @@ _STATES = ", ".join(f"'{k}': '{v}'" for k, v in C.STATES.items())
     f"""WITH d AS (SELECT person_id, CASE person_id % 5 WHEN 0 THEN 'MH' WHEN 1 THEN 'DL' WHEN 2 THEN 'XX' WHEN 3 THEN 'KA' ELSE 'TN' END || lpad(CAST(person_id % 12 AS STRING), 2, '0') || CAST(1895 + person_id % 150 AS STRING) || lpad(CAST(person_id AS STRING), 7, '0') AS dl FROM people),
 q AS (SELECT *, MAP {{{_STATES}}}[substr(dl, 1, 2)] AS place FROM d)
 SELECT person_id, place IS NOT NULL AND substr(dl, 3, 2) <> '00' AND CAST(substr(dl, 5, 4) AS INT) BETWEEN 1900 AND 2026 AS ok,
- CASE WHEN place IS NULL THEN 'Licence state code ' || substr(dl, 1, 2) || ' is not a recognised Indian state or union territory' WHEN substr(dl, 3, 2) = '00' THEN 'Licence RTO office code 00 is not valid'
- WHEN CAST(substr(dl, 5, 4) AS INT) NOT BETWEEN 1900 AND 2026 THEN 'Licence issue year ' || substr(dl, 5, 4) || ' is not a plausible year' ELSE 'Licence issued by ' || place || ', RTO office ' || substr(dl, 3, 2) || ', ' || substr(dl, 5, 4) END AS detail FROM q""",
+ CASE WHEN place IS NULL THEN 'No state has the licence code ' || substr(dl, 1, 2) WHEN substr(dl, 3, 2) = '00' THEN 'No office has the licence code 00'
+ WHEN CAST(substr(dl, 5, 4) AS INT) NOT BETWEEN 1900 AND 2026 THEN 'No licence is of the year ' || substr(dl, 5, 4) ELSE 'Licence of ' || substr(dl, 5, 4) || ' from office ' || substr(dl, 3, 2) || ' in ' || place END AS detail FROM q""",
 )
 def f13_dl(t: Tables) -> DataFrame:
     k = F.col("person_id")

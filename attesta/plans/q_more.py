@@ -69,19 +69,6 @@ def p4(t: Tables) -> DataFrame:
     return t.signals.groupBy("case_id").agg(F.count_if(bad).alias("n")).filter("n = 0").select("case_id")
 
 
-@query("P6_submit_gate", "SELECT box_id, x2 >= 140 AND least(x2, y2) >= 70 AS submittable, x2 >= 220 AND least(x2, y2) >= 70 AND y2 BETWEEN 55 AND 215 AND confidence < 0.9 AS good FROM boxes")
-def p6(t: Tables) -> DataFrame:
-    """Client-side gate: what may be sent, and what is good."""
-    sharp, edge = F.col("x2"), F.least("x2", "y2")
-    return t.boxes.select("box_id", ((sharp >= 140) & (edge >= 70)).alias("submittable"), ((sharp >= 220) & (edge >= 70) & F.col("y2").between(55, 215) & (F.col("confidence") < 0.9)).alias("good"))
-
-
-@query("P7_doctype", "SELECT case_id, CASE WHEN case_id % 3 = 0 THEN 'inconclusive' ELSE 'not_applicable' END AS verdict FROM cases")
-def p7(t: Tables) -> DataFrame:
-    declared = F.when(F.col("case_id") % 3 != 0, F.col("doc_type"))
-    return t.cases.select("case_id", F.when(declared.isNotNull(), "not_applicable").otherwise("inconclusive").alias("verdict"))
-
-
 @query("P8_located_fields", "SELECT image_id, 'extraction.field.' || class || '.confidence' AS id, max(confidence) AS confidence FROM boxes WHERE class IN ('dob', 'name') GROUP BY ALL")
 def p8(t: Tables) -> DataFrame:
     """One pass for each declared class that was located."""
@@ -90,27 +77,6 @@ def p8(t: Tables) -> DataFrame:
     return own.select("image_id", F.concat(F.lit("extraction.field."), "class", F.lit(".confidence")).alias("id"), "confidence")
 
 
-@query("P10_reader_confidence", "SELECT person_id, CASE WHEN person_id % 10 = 0 THEN 'inconclusive' WHEN person_id % 100 < 55 THEN 'inconclusive' WHEN person_id % 7 = 0 THEN 'inconclusive' ELSE 'pass' END AS verdict FROM people")
-def p10(t: Tables) -> DataFrame:
-    """Read fields: empty, unsure or not to be normalised stay open."""
-    k = F.col("person_id")
-    text = F.when(k % 10 == 0, "").when(k % 7 == 0, "31/31/1990").otherwise(F.col("dob"))
-    iso = F.coalesce(S.iso_date(text), S.iso_date(F.regexp_replace(text, r"\s", "")))
-    return t.people.select("person_id", F.when(text == "", "inconclusive").when(k % 100 / 100 < 0.55, "inconclusive").when(iso.isNull(), "inconclusive").otherwise("pass").alias("verdict"))
-
-
-@query("P12_verified_zones", "SELECT count(*) FILTER (person_id % 5 <> 0 OR substr(dob, 3, 1) = '8') AS stored, count(*) AS n FROM people")
-def p12(t: Tables) -> DataFrame:
-    """Zones from the fixed place are kept only if every digit verifies."""
-    from attesta.functions import mrz as M
-
-    from .q_checks import strips, today
-
-    digits = M.parse(F.col("strip"), today())["check_digits"]
-    good = F.forall(digits, lambda d: M.verify(d["value"], d["digit"]))
-    return strips(t).agg(F.count_if(good).alias("stored"), F.count("*").alias("n"))
-
-
 @query(
     "P16_ratify",
     f"WITH {_AADHAAR} SELECT person_id, CASE WHEN person_id % 4 = 3 THEN 'not_applicable' WHEN {d_verhoeff('number', 0)} = 0 THEN 'pass' ELSE 'fail' END AS verdict, CASE WHEN person_id % 4 = 3 THEN NULL WHEN {d_verhoeff('number', 0)} = 0 THEN number END AS stored FROM numbers",
@@ -143,12 +109,6 @@ def p35(t: Tables) -> DataFrame:
     return rows.select("case_id", "id", F.when(F.col("id").isin(BLOCKED), "inconclusive").otherwise("run").alias("action"))
 
 
-@query("P42_ghost_portrait", "SELECT image_id, CASE WHEN count(*) FILTER (class = 'photo') = 0 THEN 'inconclusive' WHEN count(*) FILTER (class = 'photo') = 1 THEN 'fail' WHEN max(confidence) < 0.9 THEN 'fail' ELSE 'pass' END AS verdict FROM boxes GROUP BY image_id")
-def p42(t: Tables) -> DataFrame:
-    photos = F.count_if(F.col("class") == "photo")
-    return t.boxes.groupBy("image_id").agg(F.when(photos == 0, "inconclusive").when(photos == 1, "fail").when(F.max("confidence") < 0.9, "fail").otherwise("pass").alias("verdict"))
-
-
 @query("P44_glyph_heights", "SELECT image_id, arg_max(class, (round(cv, 9), class)) AS class, round(max(cv) + 1e-9, 6) AS cv, CASE WHEN round(max(cv), 9) >= 0.22 THEN 'fail' ELSE 'pass' END AS verdict FROM (SELECT image_id, class, stddev_pop(y2 - y1) / avg(y2 - y1) AS cv FROM boxes GROUP BY ALL) GROUP BY image_id")
 def p44(t: Tables) -> DataFrame:
     """Worst coefficient of variation of heights among an image's crops."""
@@ -158,12 +118,6 @@ def p44(t: Tables) -> DataFrame:
     return per.groupBy("image_id").agg(F.max_by("class", F.struct(F.round("cv", 9), "class")).alias("class"), F.round(worst + 1e-9, 6).alias("cv"), F.when(F.round(worst, 9) >= 0.22, "fail").otherwise("pass").alias("verdict"))
 
 
-@query("P47_face_quality", "SELECT box_id, CASE WHEN x2 - x1 < 30 THEN 'width' WHEN y2 < 80 THEN 'sharpness' WHEN confidence > 0.35 THEN 'yaw' ELSE 'ok' END AS problem FROM boxes")
-def p47(t: Tables) -> DataFrame:
-    """First failing measure of a face: width, sharpness, yaw."""
-    return t.boxes.select("box_id", F.when(F.col("x2") - F.col("x1") < 30, "width").when(F.col("y2") < 80, "sharpness").when(F.col("confidence") > 0.35, "yaw").otherwise("ok").alias("problem"))
-
-
 _PAIR = "WITH u AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e FROM vectors), s AS (SELECT a.vec_id, round(list_cosine_similarity(a.e, b.e), 9) AS c FROM u a LEFT JOIN u b ON b.vec_id = a.vec_id + 10)"
 
 
@@ -213,14 +167,6 @@ def j14(t: Tables) -> DataFrame:
     return asked.join(total, "user_id").join(per_post, ["user_id", "post_id"]).select("event_id", (F.col("all") - F.col("c")).alias("n")).filter("n > 0")
 
 
-@query("J19_group_pairs", "WITH v AS (SELECT vec_id, label FROM vectors) SELECT a.label, count(*) AS n FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label")
-def j19(t: Tables) -> DataFrame:
-    """Unordered pairs within groups, counted by rank instead of being made."""
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    own = t.vectors.select("label", rank.cast("long").alias("before"))
-    return own.groupBy("label").agg(F.sum("before").alias("n")).filter("n > 0")
-
-
 @query("J12_near_names")
 def j12(t: Tables) -> DataFrame:
     """Names that sound alike with their match ratio; difflib has no SQL."""
