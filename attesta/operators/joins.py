@@ -5,7 +5,9 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,6 +145,26 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
+BLOCK_PROBES = 4096
+
+
+def probe_blocks(probes: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, labels and unit vectors of the probes, a block at a time."""
+    held = []
+    for row in probes.select("vec_id", "label", unit(F.col("embedding")).alias("u")).filter("u is not null").orderBy("vec_id").toLocalIterator():
+        held.append(row)
+        if len(held) == BLOCK_PROBES:
+            yield np.array([r["vec_id"] for r in held]), np.array([r["label"] for r in held]), np.array([r["u"] for r in held])
+            held = []
+    if held:
+        yield np.array([r["vec_id"] for r in held]), np.array([r["label"] for r in held]), np.array([r["u"] for r in held])
+
+
+def _vectors(batch: pa.RecordBatch) -> np.ndarray:
+    column = batch.column("u")
+    return column.flatten().to_numpy().reshape(batch.num_rows, -1)
+
+
 def gallery(probes: DataFrame, stored: DataFrame, least: float = 0.45, keep: int = 5, spare: int = 5) -> DataFrame:
     """Per probe the ``keep`` most similar stored vectors of at least ``least`` cosine.
 
@@ -151,40 +173,57 @@ def gallery(probes: DataFrame, stored: DataFrame, least: float = 0.45, keep: int
     is shuffled doesn't depend on the gallery's size.  As in a lookup that fetches
     ``keep + spare`` and then drops the probe's own label, fewer may come back.
     """
-    import numpy as np
-    import pyarrow as pa
-
     want = keep + spare
-    rows = probes.select("vec_id", "label", unit(F.col("embedding")).alias("u")).filter("u is not null")
-    block = [(r["vec_id"], r["label"], r["u"]) for r in rows.orderBy("vec_id").limit(BLOCK_PROBES + 1).collect()]
-    if len(block) > BLOCK_PROBES:
-        raise ValueError(f"give at most {BLOCK_PROBES} probes at a time")
-    spark = probes.sparkSession
-    if not block:
-        return spark.createDataFrame([], "probe_id long, vec_id long, cosine double, place int")
-    ids = np.array([b[0] for b in block])
-    queries = np.array([b[2] for b in block])
-
-    def search(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            vectors = np.stack(batch.column("u").to_numpy(zero_copy_only=False))
-            near = queries @ vectors.T
-            vec = batch.column("vec_id").to_numpy()
-            p, v = np.nonzero(near >= least)
-            score = near[p, v]
-            order = np.lexsort((vec[v], -score, p))
-            p, v, score = p[order], v[order], score[order]
-            first = np.searchsorted(p, p)
-            own = np.arange(len(p)) - first < want
-            yield pa.RecordBatch.from_arrays([pa.array(ids[p[own]]), pa.array(vec[v[own]]), pa.array(score[own])], ["probe_id", "vec_id", "cosine"])
-
-    found = stored.select("vec_id", unit(F.col("embedding")).alias("u")).filter("u is not null").mapInArrow(search, "probe_id long, vec_id long, cosine double")
+
+    def search(ids: np.ndarray, queries: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                near = queries @ _vectors(batch).T
+                vec = batch.column("vec_id").to_numpy()
+                p, v = np.nonzero(near >= least)
+                score = near[p, v]
+                order = np.lexsort((vec[v], -score, p))
+                p, v, score = p[order], v[order], score[order]
+                own = np.arange(len(p)) - np.searchsorted(p, p) < want
+                yield pa.RecordBatch.from_arrays([pa.array(ids[p[own]]), pa.array(vec[v[own]]), pa.array(score[own])], ["probe_id", "vec_id", "cosine"])
+
+        return run
+
+    form = "probe_id long, vec_id long, cosine double"
+    rows = stored.select("vec_id", unit(F.col("embedding")).alias("u")).filter("u is not null")
+    found = probes.sparkSession.createDataFrame([], form)
+    for ids, _, queries in probe_blocks(probes):
+        found = found.unionByName(rows.mapInArrow(search(ids, queries), form))
     order = Window.partitionBy("probe_id").orderBy(F.round("cosine", 9).desc(), "vec_id")
     top = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= want)
     other = top.filter("probe_id <> vec_id").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep)
     return other.select("probe_id", "vec_id", "cosine", "place")
 
 
-BLOCK_PROBES = 4096
+def pair_scores(probes: DataFrame, stored: DataFrame) -> DataFrame:
+    """(genuine, label, score) of every probe against every other stored vector, by blocked matrix products.
+
+    ``label`` is the probe's.  The probes are the stated query set; a block of them meets the stored vectors task by task.
+    """
+
+    def run_block(ids: np.ndarray, labels: np.ndarray, queries: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                vectors, vec, other = _vectors(batch), batch.column("vec_id").to_numpy(), batch.column("label").to_numpy()
+                for a in range(0, len(ids), 256):
+                    p, v = np.nonzero(ids[a : a + 256, None] != vec[None, :])
+                    score = (queries[a : a + 256] @ vectors.T)[p, v]
+                    yield pa.RecordBatch.from_arrays([pa.array(labels[a + p] == other[v]), pa.array(labels[a + p].astype(np.int32)), pa.array(score)], ["genuine", "label", "score"])
+
+        return run
+
+    form = "genuine boolean, label int, score double"
+    rows = stored.select("vec_id", "label", unit(F.col("embedding")).alias("u")).filter("u is not null")
+    out = probes.sparkSession.createDataFrame([], form)
+    for block in probe_blocks(probes):
+        out = out.unionByName(rows.mapInArrow(run_block(*block), form))
+    return out

@@ -163,10 +163,7 @@ def j18(t: Tables) -> DataFrame:
 
 def scores(t: Tables) -> DataFrame:
     """(genuine, label, score) of every twentieth vector against all others."""
-    a = t.vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), "label", J.unit(F.col("embedding")).alias("u"))
-    b = t.vectors.select(F.col("vec_id").alias("b"), F.col("label").alias("other"), J.unit(F.col("embedding")).alias("v"))
-    met = b.join(J.dimension(a, 100_000), F.col("a") != F.col("b"))
-    return met.select((F.col("label") == F.col("other")).alias("genuine"), "label", J.dot(F.col("u"), F.col("v")).alias("score"))
+    return J.pair_scores(t.vectors.filter("vec_id % 20 = 0"), t.vectors)
 
 
 @query("J20_class_map", "SELECT m.target, count(*) AS n FROM boxes b LEFT JOIN (VALUES ('dob', 'date'), ('name', 'text'), ('photo', NULL)) m(class, target) USING (class) GROUP BY 1")

@@ -9,14 +9,19 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_LIMIT = "spark.sql.codegen.hugeMethodLimit"
 ROOT = str(Path(__file__).resolve().parents[1])
 
 
 def share_code(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver has it (on one machine, or a shared folder).
 
-    A cluster without such a folder gets the package by ``--py-files``.
+    A cluster without such a folder gets the package by ``--py-files``.  Also has
+    plans with very large expressions (rule tables) cut into methods that the JVM
+    compiles: it leaves methods above 8000 bytes to the interpreter.
     """
+    if spark.conf.get(_LIMIT) == "65535":  # as it is by default
+        spark.conf.set(_LIMIT, "8000")
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
