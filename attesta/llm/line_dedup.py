@@ -1,9 +1,10 @@
 """Line dedup: lines that an earlier line repeats, exactly or with one word changed.
 
 The order of lines is (doc_id, line number).  A line is removed if an earlier
-line of the corpus is within ``1`` edit of it, an edit being a word put in, left
-out or replaced; lines under ``min_words`` words must be equal.  Lines are
-judged on the input, so a line that is itself removed still removes later ones.
+line of the corpus is within its edit bound, an edit being a word put in, left out
+or replaced.  The bound is part of what a repeated line is: one edit between lines
+of ``min_words`` words or more, and none below, where one word is too large a part
+of a line.  Lines are judged on the input, so a line that is itself removed still removes later ones.
 Lines without a word are never removed.
 
 Deletion neighbourhoods find the pairs: two lines are within one edit if leaving
@@ -20,7 +21,8 @@ one half as it was), which holds for few lines, and the text of the others isn't
 read again; then all but one of its four segments, and only words of that
 segment are left out.
 
-Each line that a near line removes is verified against it, word by word.
+A line is verified, word by word, against every line that answers for one of its
+keys, and is removed if one of them is truly within the bound.
 
 Null text has no lines.  A null doc_id comes after all others.  Rows that repeat
 a doc_id don't count as earlier than each other at the same line number.  An
@@ -40,11 +42,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .store import doc_key, stored
+from .store import doc_key, small, split_join, stored
 
 MIN_WORDS = 8
 SEGMENTS = 4
-BROADCAST_DOCS = 300_000
 FIRST, LAST, SAME_PLACE, LEFT_OUT = (np.uint64(x) for x in (0x51ED270B, 0x2545F491, 0x9E3779B1, 0x85EBCA6B))
 
 
@@ -220,8 +221,8 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     half_met = halves.join(met, "half", "left_semi").select("print").distinct()
     wanted = kinds.join(half_met, "print", "left_semi").groupBy("first.key").agg(F.collect_list(F.struct("first.line", "print")).alias("wanted"))
     wanted = stored(wanted, "wanted")
-    # Line numbers of at most BROADCAST_DOCS documents go to all executors; more are joined by a shuffle.
-    few = wanted.count() <= BROADCAST_DOCS
+    # Line numbers of few bytes go to all executors; more are joined by a shuffle.
+    few = small(wanted, F.size("wanted") * 16 + 16)
     candidates = texts.join(F.broadcast(wanted) if few else wanted, "key").select("key", "text", "wanted")
     # Rows that repeat a doc_id may hold the same line: it counts once.
     candidates = stored(candidates.mapInArrow(_candidates(), "print long, key long, line int, words array<long>").dropDuplicates(["print"]), "candidates")
@@ -243,16 +244,15 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         variants.join(least, "variant")
         .withColumn("witness", witness)
         .filter((F.struct("witness.key", "witness.line") < F.struct("key", "line")) & (F.col("witness.print") != F.col("print")))
-        .groupBy("print")
-        .agg(F.min("witness").alias("witness"))
         .select("print", F.col("witness.print").alias("other"))
+        .distinct()
     )
     other = near.select(F.col("print").alias("other"), F.col("words").alias("witness_words"))
     edited = pairs.join(near.select("print", "words"), "print").join(other, "other").select("print", "words", "witness_words").mapInArrow(_verify, "print long")
-    edited = stored(edited.withColumn("edited", F.lit(True)), "edited")
+    edited = stored(edited.distinct().withColumn("edited", F.lit(True)), "edited", [near, candidates])
 
-    ruled = kinds.join(edited, "print", "left").filter("n > 1 or edited").select("print", "first", "edited")
-    gone = lines.select("key", "line", "print").join(ruled, "print").filter(F.coalesce("edited", F.lit(False)) | (F.struct("key", "line") > F.col("first")))
+    ruled = stored(kinds.join(edited, "print", "left").filter("n > 1 or edited").select("print", "first", "edited", "n"), "ruled")
+    gone = split_join(lines.select("key", "line", "print"), ruled, ["print"], "n", lines.count()).filter(F.coalesce("edited", F.lit(False)) | (F.struct("key", "line") > F.col("first")))
     return stored(gone.groupBy("key").agg(F.collect_set(F.struct("line", "print")).alias("gone")), "gone")
 
 
