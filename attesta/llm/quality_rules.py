@@ -1,7 +1,7 @@
 """Quality rules: a ledger of failure bits, and policies over it.
 
-The ledger is made once: one scan measures each whole text, and every rule is
-evaluated on the measurements and leaves one bit in ``failed``.  A policy is a
+The ledger is made once and stored: one scan measures each whole text, and every
+rule is evaluated on the measurements and leaves one bit in ``failed``.  A policy is a
 version name and a mask of the rules that reject; applying one, or comparing
 many, is integer arithmetic on the ledger and never reads a text again.
 Ablations come from one bitwise aggregation: for each rule, how many documents
@@ -9,7 +9,9 @@ it fails, how many it alone fails, and how many a policy without it would keep.
 
 Null text has no words and fails the rule on length.  Rows that repeat are
 judged alike.  An empty table gives an empty ledger.  All columns but doc_id and
-text are ignored by the ledger; apply_policy keeps every column of its input.
+text are ignored by the ledger; apply_policy keeps every column of its input.  It
+evaluates the same bits on the rows as they pass, because looking texts up in a
+stored ledger would shuffle them.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import types as T
 
 from . import textscan as ts
 from .measures import NAMES, measure
+from .store import stored
 
 #: (rule, SQL condition of failure over the measurements). The position is the bit; rules are only ever appended.
 RULES: list[tuple[str, str]] = [
@@ -116,7 +119,17 @@ def apply_policy(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     return marked.filter(kept(policy)).select("row.*")
 
 
+def sole_failure(policy: str = CURRENT) -> Column:
+    """The bit of the one rule that rejects a row of the ledger under a policy; 0 if none or several do.
+
+    A policy without that rule would keep the row, so counts of this column are the policy's ablation.
+    """
+    hit = F.col("failed").bitwiseAND(F.lit(POLICIES[policy]))
+    return F.when(F.bit_count(hit) == 1, hit).otherwise(F.lit(0)).cast("long")
+
+
 def quality_rules(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed."""
-    base = F.col("failed").bitwiseAND(F.lit(BASE)) != 0
-    return ledger(docs).select("doc_id", *NAMES[:5], base.alias("base_failed"), kept(policy).alias("kept"), "failed")
+    """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed, kept_<version> of the other policies, sole_failure; read from the stored ledger."""
+    book = stored(ledger(docs), "ledger")
+    others = [kept(p).alias(f"kept_{p}") for p in POLICIES if p != policy]
+    return book.select("doc_id", *NAMES[:5], (~kept("base")).alias("base_failed"), kept(policy).alias("kept"), "failed", *others, sole_failure(policy).alias("sole_failure"))

@@ -142,7 +142,8 @@ n AS (SELECT *, len(lines) AS n_lines, CAST(len(lines) - len(list_distinct(lines
 b AS (SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (100 * n_symbols > 20 * n_words)::INT + 8 * (100 * n_dup_lines > 30 * n_lines)::INT
   + 16 * (100 * upper_n > 60 * letters_n AND letters_n > 0)::INT + 32 * (100 * shouts_n > 40 * n_words)::INT + 64 * (word_chars < 2 * n_words)::INT + 128 * (word_chars > 30 * n_words)::INT
   + 256 * (100 * digits_n > 50 * word_chars)::INT AS BIGINT) AS failed FROM n)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM b""",
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed, failed & 3 = 0 AS kept_base, failed & 63 = 0 AS kept_v1,
+ CASE WHEN bit_count(failed) = 1 THEN failed ELSE 0 END AS sole_failure FROM b""",
     "op9_ngram_join": f"""
 WITH RECURSIVE d AS (SELECT doc_id, {words_sql("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 2], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 1, CASE WHEN len(w) > 0 THEN 2 ELSE 1 END))) t(p)),

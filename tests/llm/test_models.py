@@ -44,6 +44,7 @@ def test_policies_and_ablation(docs):
     for rule, bit in R.BIT.items():
         assert table[rule]["n_failed"] == sum(f >> bit & 1 for f in failed)
         assert table[rule]["n_failed_alone"] == sum(f == 1 << bit for f in failed)
+        assert table[rule]["n_failed_alone"] == book.filter(R.sole_failure() == 1 << bit).count()
     assert book.filter(R.kept()).count() == 20
 
 
