@@ -15,7 +15,7 @@ HOT_KEYS = 10_000
 BROADCAST_BYTES = 32 << 20
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let Python workers of this session get at most ``rows`` texts at a time, as texts may be long."""
     have = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     if have <= 0 or have > rows:
