@@ -12,11 +12,15 @@ prefix, and the prefix is as long as it takes:
   text.
 * Parts whose prefix occurs in one document only have no node of interest and
   are dropped before any text moves.
-* Parts with more than ``group_limit`` documents (a passage that a third of a
-  corpus may hold) get the longest prefix, all 50 words.  Such a part is one
-  node; its smallest document is a map-side-combined minimum.
-* All other parts are built in one task each, as a sorted suffix array with
-  common prefix lengths.  Runs that agree over 50 words are the deep nodes.
+* Parts of more than ``part_words`` words (a passage that a third of a corpus
+  may hold, or one that a document goes on repeating) get the longest prefix,
+  all 50 words.  Such a part is one node; its smallest document is a
+  map-side-combined minimum.
+* All other parts are built in one task each, as a suffix tree with exact
+  prefix lengths (``suffix_tree.py``).  Its internal nodes at depth 50 or more
+  are the repeats; the left-maximal ones are cut out over their whole depth.
+  A suffix ends where its segment ends, so a passage longer than a segment comes
+  as maximal repeats of neighbouring parts that overlap and are merged.
 
 Null text has no words.  A null doc_id comes after all other ids.  Rows that
 repeat a doc_id don't count as earlier than each other.  An empty table gives
@@ -34,7 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .store import doc_key, stored, width
+from .store import doc_key, split_join, stored, width
+from .suffix_tree import earlier_repeats
 
 WINDOW = 50
 ANCHOR = 8
@@ -56,7 +61,7 @@ def _runs(chunk: ts.Chunk, at: np.ndarray, low: np.ndarray) -> np.ndarray:
 
 
 def _outline(window: int, anchor: int):
-    """Per document: its key, words, fingerprint and distinct anchors."""
+    """Per document: its key, words, fingerprint, distinct anchors, and the words of the segments around each of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,20 +69,24 @@ def _outline(window: int, anchor: int):
                 hashes = chunk.hashes()
                 at, low = _minimizers(chunk, hashes, window, anchor)
                 runs = _runs(chunk, at, low)
+                size = at[np.append(runs[1:], len(at))[: len(runs)] - 1] - at[runs] + window
                 row, low = chunk.row_of[at[runs]], low[runs]
                 order = np.lexsort((low, row))
                 row, low = row[order], low[order]
                 new = np.ones(len(row), bool)
                 new[1:] = (row[1:] != row[:-1]) | (low[1:] != low[:-1])
+                size = np.add.reduceat(size[order], np.flatnonzero(new)) if len(row) else size
                 row, low = row[new], low[new]
+                counts = np.bincount(row, minlength=chunk.rows)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("key").slice(chunk.first, chunk.rows),
                         pa.array(chunk.counts),
                         pa.array(ts.fingerprints(hashes, chunk.edges)),
-                        ts.long_lists(low.view(np.int64), np.bincount(row, minlength=chunk.rows)),
+                        ts.long_lists(low.view(np.int64), counts),
+                        ts.long_lists(size, counts),
                     ],
-                    ["key", "n_words", "print", "anchors"],
+                    ["key", "n_words", "print", "anchors", "sizes"],
                 )
 
     return run
@@ -91,6 +100,7 @@ def _segments(window: int, anchor: int):
             keys, prints = batch.column("key").to_numpy(), batch.column("print").to_numpy()
             lists = batch.column("anchors")
             flat, ends = lists.flatten().to_numpy().view(np.uint64), lists.value_lengths().to_numpy().cumsum()
+            flags = batch.column("heavy").flatten().to_numpy(zero_copy_only=False)
             for chunk in ts.scan(batch.column("text")):
                 hashes = chunk.hashes()
                 own = ts.fingerprints(hashes, chunk.edges) == prints[chunk.first : chunk.first + chunk.rows]
@@ -99,12 +109,17 @@ def _segments(window: int, anchor: int):
                 row = chunk.row_of[at[runs]] if len(runs) else np.zeros(0, np.int64)
                 stop = np.append(runs[1:], len(at))
                 key = low[runs]
-                good = np.zeros(len(runs), bool)
+                good, heavy = np.zeros(len(runs), bool), np.zeros(len(runs), bool)
                 edges = np.searchsorted(row, np.arange(chunk.rows + 1))
                 for r in np.flatnonzero(own & (np.diff(edges) > 0)):
                     a, b = edges[r], edges[r + 1]
                     i = chunk.first + r
-                    good[a:b] = np.isin(key[a:b], flat[ends[i] - len(lists[i]) : ends[i]])
+                    part = slice(ends[i] - len(lists[i]), ends[i])
+                    order = np.argsort(flat[part])
+                    wanted = flat[part][order]
+                    place = np.minimum(np.searchsorted(wanted, key[a:b]), len(wanted) - 1)
+                    good[a:b] = wanted[place] == key[a:b]
+                    heavy[a:b] = flags[part][order][place]
                 picked = np.flatnonzero(good)
                 first, last = at[runs[picked]], at[stop[picked] - 1] + window
                 texts, words, done = [], [], -1
@@ -116,80 +131,60 @@ def _segments(window: int, anchor: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(key[picked].view(np.int64)),
+                        pa.array(heavy[picked]),
                         pa.array(keys[rows]),
                         pa.array(prints[rows]),
                         pa.array(first - chunk.edges[row[picked]]),
                         pa.array(texts, pa.binary()).cast(pa.string()),
                     ],
-                    ["anchor", "key", "print", "start", "words"],
+                    ["anchor", "heavy", "key", "print", "start", "words"],
                 )
 
     return run
 
 
-def _covered(first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ranges of words that windows at the sorted places ``first`` cover."""
+def _merged(first: np.ndarray, last: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges that overlap in a row as one; they are sorted by their starts."""
+    last = np.maximum.accumulate(last)
     new = np.ones(len(first), bool)
-    new[1:] = first[1:] > first[:-1] + window
+    new[1:] = (first[1:] > last[:-1]) | (row[1:] != row[:-1])
     a = np.flatnonzero(new)
-    return first[a], first[np.append(a[1:], len(first)) - 1] + window
-
-
-def suffix_classes(blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sort suffixes by their blocks; their order, and the length in blocks that each has in common with the one before."""
-    order = np.lexsort(blocks[::-1])
-    common = np.zeros(len(order), np.int64)
-    same = np.ones(max(0, len(order) - 1), bool)
-    for block in blocks:
-        here = block[order]
-        same &= here[1:] == here[:-1]
-        common[1:] += same
-    return order, common
-
-
-def _tree(window: int, block: int):
-    """Build the subtrees of sorted segments, and report the windows that a smaller document has: (key, print, starts, ends)."""
-    offsets = [*range(0, window - block, block), window - block]
-
-    def build(table: pa.Table) -> pa.RecordBatch:
-        keys, prints = table.column("key").to_numpy(), table.column("print").to_numpy()
-        start, anchors = table.column("start").to_numpy(), table.column("anchor").to_numpy()
-        out: list[tuple[int, int, np.ndarray]] = []
-        parts = []
+    return first[a], last[np.append(a[1:], len(first)) - 1], row[a]
+
+
+def _tree(window: int):
+    """Build the subtrees of sorted segments, and report the repeats that a smaller document has: (key, print, starts, ends)."""
+
+    def build(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys, prints, start = (table.column(x).to_numpy() for x in ("key", "print", "start"))
         for chunk in ts.scan(table.column("words"), limit=1 << 40):
-            rolled = ts.rolling(chunk.hashes(), block)
-            at = np.flatnonzero(chunk.inside(window))
-            parts.append((at, chunk.row_of[at], chunk.edges, rolled))
-        at, row, edges, rolled = parts[0]
-        order, common = suffix_classes([anchors[row], *(rolled[at + o] for o in offsets)])
-        node = np.flatnonzero(common <= len(offsets))  # a new class of suffixes that agree over the whole window
-        size = np.diff(np.append(node, len(order)))
-        least = np.repeat(np.minimum.reduceat(keys[row[order]], node), size) if len(order) else keys[:0]
-        gone = np.zeros(len(at), bool)
-        gone[order] = least < keys[row[order]]
-        hit = np.flatnonzero(gone)
-        cuts = np.flatnonzero(np.diff(row[hit])) + 1
-        for part in np.split(hit, cuts) if len(hit) else []:
-            r = row[part[0]]
-            out.append((r, *_covered(at[part] - edges[r] + start[r], window)))
-        rows = np.array([r for r, _, _ in out], np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(keys[rows]), pa.array(prints[rows]), pa.array([a for _, a, _ in out], pa.list_(pa.int64())), pa.array([b for _, _, b in out], pa.list_(pa.int64()))],
-            ["key", "print", "starts", "ends"],
-        )
+            first, length = earlier_repeats(chunk.hashes(), chunk.edges, keys[chunk.first : chunk.first + chunk.rows], window)
+            if not len(first):
+                continue
+            first, last, row = _merged(first, first + length, chunk.row_of[first])
+            shift = start[row + chunk.first] - chunk.edges[row]
+            rows, counts = np.unique(row, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[rows + chunk.first]), pa.array(prints[rows + chunk.first]), ts.long_lists(first + shift, counts), ts.long_lists(last + shift, counts)],
+                ["key", "print", "starts", "ends"],
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[pa.RecordBatch] = []  # the last part may go on in the next batch
         for batch in batches:
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            anchors = table.column("anchor").to_numpy()
-            whole = int(np.searchsorted(anchors, anchors[-1]))  # the last group may go on in the next batch
+            if not batch.num_rows:
+                continue
+            anchors = batch.column("anchor").to_numpy()
+            whole = int(np.searchsorted(anchors, anchors[-1]))
             if whole:
-                yield build(table.slice(0, whole))
-                held = table.slice(whole).combine_chunks().to_batches()
+                yield from build(pa.Table.from_batches([*held, batch.slice(0, whole)]))
+                held = []
+            elif held and held[-1].column("anchor")[-1].as_py() != anchors[-1]:
+                yield from build(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(whole))
         if held:
-            yield build(pa.Table.from_batches(held))
+            yield from build(pa.Table.from_batches(held))
 
     return run
 
@@ -248,7 +243,7 @@ def _apply(with_text: bool):
     return run
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, group_limit: int = 4000, with_text: bool = True) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, part_words: int = 1 << 19, with_text: bool = True) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256 and kept_text, without each word that lies in a window of ``window`` words that also starts in a document with a smaller doc_id.
 
     ``with_text=False`` leaves kept_text null.
@@ -257,36 +252,35 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     spark = docs.sparkSession
     texts = docs.select("doc_id", doc_key().alias("key"), "text")
     outline = stored(
-        texts.select("key", "text").mapInArrow(_outline(window, anchor), "key long, n_words long, print long, anchors array<long>"),
+        texts.select("key", "text").mapInArrow(_outline(window, anchor), "key long, n_words long, print long, anchors array<long>, sizes array<long>"),
         "outline",
     )
     # Copies of a whole document: the first of them stands for all.
-    first = outline.groupBy("print", "n_words").agg(F.min("key").alias("first"), F.max("key").alias("final"))
-    many = first.filter((F.col("first") < F.col("final")) & (F.col("n_words") >= window))
-    copies = outline.join(many, ["print", "n_words"]).filter("key > first").select("key", "print")
+    first = outline.groupBy("print", "n_words").agg(F.min("key").alias("first"), F.max("key").alias("final"), F.count("*").alias("n"))
+    many = stored(first.filter((F.col("first") < F.col("final")) & (F.col("n_words") >= window)), "copies")
+    copies = split_join(outline.select("key", "print", "n_words"), many, ["print", "n_words"], "n", outline.count()).filter("key > first").select("key", "print")
     unique = outline.join(copies, ["key", "print"], "left_anti")
-    places = unique.select("key", "print", F.explode("anchors").alias("anchor")).distinct()
+    places = stored(unique.select("key", "print", F.explode(F.arrays_zip("anchors", "sizes")).alias("a")).select("key", "print", "a.*").distinct(), "places")
     shared = (
-        places.groupBy("anchor")
-        .agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("n"))
+        places.withColumnRenamed("anchors", "anchor")
+        .groupBy("anchor")
+        .agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("n"), F.sum("sizes").alias("size"))
         .filter("least < most")
-        .select("anchor", (F.col("n") > group_limit).alias("heavy"))
+        .select("anchor", "n", (F.col("size") > part_words).alias("heavy"))
     )
-    shared = stored(shared, "anchors")
-    wanted = places.join(shared.select("anchor"), "anchor").groupBy("key", "print").agg(F.collect_list("anchor").alias("anchors"))
+    met = split_join(places.select("key", "print", F.col("anchors").alias("anchor")), stored(shared, "anchors"), ["anchor"], "n", places.count())
+    wanted = met.groupBy("key", "print").agg(F.collect_list(F.struct("anchor", "heavy")).alias("a")).select("key", "print", F.col("a.anchor").alias("anchors"), F.col("a.heavy").alias("heavy"))
     segments = stored(
-        texts.select("key", "text").join(wanted, "key").mapInArrow(_segments(window, anchor), "anchor long, key long, print long, start long, words string"),
+        texts.select("key", "text").join(wanted, "key").mapInArrow(_segments(window, anchor), "anchor long, heavy boolean, key long, print long, start long, words string"),
         "segments",
     )
-    heavy = shared.filter("heavy").select("anchor")
-    n = width(spark)
     light = (
-        segments.join(heavy, "anchor", "left_anti")
-        .repartition(n, "anchor")
+        segments.filter("not heavy")
+        .repartition(width(spark), "anchor")
         .sortWithinPartitions("anchor")
-        .mapInArrow(_tree(window, anchor), "key long, print long, starts array<long>, ends array<long>")
+        .mapInArrow(_tree(window), "key long, print long, starts array<long>, ends array<long>")
     )
-    windows = segments.join(heavy, "anchor", "left_semi").mapInArrow(_full_prefixes(window), "w0 long, w1 long, key long, print long, at long")
+    windows = segments.filter("heavy").mapInArrow(_full_prefixes(window), "w0 long, w1 long, key long, print long, at long")
     least = windows.groupBy("w0", "w1").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most")
     dense = (
         windows.join(least, ["w0", "w1"])

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from attesta.llm import line_dedup, ngram_join, store, substring_dedup
+from attesta.llm import line_dedup, ngram_join, store, substring_dedup, suffix_tree
 from attesta.llm import textscan as ts
 from attesta.llm.components import components
 from attesta.llm.prefix_trie import Forest, search
@@ -44,10 +44,10 @@ def corpus(seed, n=60, vocabulary=400):
     return list(zip(ids, texts, strict=True))
 
 
-@pytest.mark.parametrize("limit", [4000, 1])
+@pytest.mark.parametrize("limit", [1 << 19, 400, 1])
 def test_substrings(spark, docs, limit):
     rows = corpus(1) + [(None, "last " * 60), (None, "last " * 60), (3, "same id " * 40), (3, "same id " * 40)]
-    got = substring_dedup.dedup_substrings(docs(rows), group_limit=limit).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    got = substring_dedup.dedup_substrings(docs(rows), part_words=limit).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute.substrings(rows)))
 
 
@@ -55,9 +55,39 @@ def test_substrings_empty(docs):
     assert substring_dedup.dedup_substrings(docs([])).count() == 0
 
 
-def test_suffix_classes():
-    order, common = substring_dedup.suffix_classes([np.array([2, 1, 2, 1]), np.array([5, 6, 5, 7])])
-    assert sorted(order[:2].tolist()) == [1, 3] and common.tolist() == [0, 1, 0, 2]
+@pytest.mark.parametrize("seed", range(40))
+def test_earlier_repeats(seed):
+    """Small alphabets give deep and periodic trees; what the repeats cover is what equal windows of lesser owners cover."""
+    rng = random.Random(seed)
+    rows = [[rng.randint(0, seed % 3) for _ in range(rng.randint(0, 30))] for _ in range(rng.randint(0, 9))]
+    rows += [rng.choice(rows) for _ in range(2)] if rows else []
+    owner = np.array([rng.randint(0, 5) for _ in rows], np.int64)
+    edges = np.cumsum([0, *map(len, rows)])
+    floor = rng.randint(1, 6)
+    values = np.array([v for r in rows for v in r], np.uint64)
+    at, length = suffix_tree.earlier_repeats(values, edges, owner, floor)
+    got = set()
+    for a, n in zip(at.tolist(), length.tolist(), strict=True):
+        r = int(np.searchsorted(edges, a, "right")) - 1
+        piece = rows[r][a - edges[r] : a - edges[r] + n]
+        # a real repeat of a lesser owner, and of whole depth: no lesser owner agrees for one value more
+        longer = rows[r][a - edges[r] : a - edges[r] + n + 1]
+        holds = lambda p: any(o < owner[r] and any(x[k : k + len(p)] == p for k in range(len(x) - len(p) + 1)) for x, o in zip(rows, owner, strict=True))  # noqa: B023, E731
+        assert n >= floor and len(piece) == n and holds(piece) and (len(longer) == n or not holds(longer))
+        got |= set(range(a, a + n))
+    first = {}
+    for x, o in zip(rows, owner, strict=True):
+        for k in range(len(x) - floor + 1):
+            first[tuple(x[k : k + floor])] = min(o, first.get(tuple(x[k : k + floor]), 99))
+    want = {int(edges[r]) + k + j for r, x in enumerate(rows) for k in range(len(x) - floor + 1) if first[tuple(x[k : k + floor])] < owner[r] for j in range(floor)}
+    assert got == want
+
+
+def test_common_prefixes():
+    values, edges = np.array([7, 8, 9, 7, 8, 7, 8, 9, 9], np.uint64), np.array([0, 3, 5, 9])
+    ends = np.repeat(edges[1:], np.diff(edges))
+    levels = suffix_tree.ranks(values, ends)
+    assert suffix_tree.common_prefixes(levels, ends, np.array([3, 1, 2, 0]), np.array([5, 7, 7, 4])).tolist() == [2, 0, 1, 0]
 
 
 @pytest.mark.parametrize("seed", [2, 3])
