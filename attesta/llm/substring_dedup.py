@@ -281,9 +281,11 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
         .mapInArrow(_tree(window), "key long, print long, starts array<long>, ends array<long>")
     )
     windows = segments.filter("heavy").mapInArrow(_full_prefixes(window), "w0 long, w1 long, key long, print long, at long")
-    least = windows.groupBy("w0", "w1").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most")
+    least = windows.groupBy("w0", "w1").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("n")).filter("least < most")
+    least = stored(least.select("w0", "w1", "least", "n"), "windows")
+    total = least.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     dense = (
-        windows.join(least, ["w0", "w1"])
+        split_join(windows, least, ["w0", "w1"], "n", total)
         .filter("key > least")
         .groupBy("key", "print")
         .agg(F.sort_array(F.collect_set("at")).alias("starts"))
