@@ -132,17 +132,49 @@ def correlation(a: np.ndarray, b: np.ndarray) -> float:
     return float(a @ b / scale) if scale > 1e-9 else 0.0
 
 
-def screen_period(tile: np.ndarray) -> int:
-    """Strongest spatial frequency of a tile, leaving out the lowest: the print screen's."""
-    power = np.abs(np.fft.fft2(tile - tile.mean()))[: tile.shape[0] // 2, : tile.shape[1] // 2]
-    power[:2, :2] = 0
-    return int(np.hypot(*np.unravel_index(power.argmax(), power.shape)))
-
-
-def screen_disagreement(plane: np.ndarray, size: int = 32) -> float:
-    """Share of tiles whose screen frequency isn't the most common one."""
-    found = [screen_period(plane[r : r + size, c : c + size]) for r in range(0, plane.shape[0] - size + 1, size) for c in range(0, plane.shape[1] - size + 1, size)]
-    return 0.0 if not found else 1 - np.bincount(found).max() / len(found)
+# Fixed values of the print-screen measure: tile edge, least deviation of a tile with print on it, share that fails.
+SCREEN_TILE, SCREEN_DETAIL, SCREEN_SHARE = 128, 4.0, 0.28
+
+
+def screen_period(tile: np.ndarray) -> float | None:
+    """Distance from the origin of a tile's strongest spatial frequency; None for a tile without detail."""
+    p = np.asarray(tile, float)
+    p = p - p.mean()
+    if p.std() < SCREEN_DETAIL:
+        return None
+    fade = np.hanning(len(p))
+    power = np.abs(np.fft.fft2(p * np.outer(fade, fade)))
+    power[0, 0] = 0
+    y, x = np.unravel_index(power.argmax(), power.shape)
+    return float(np.hypot(min(y, len(p) - y), min(x, len(p) - x)))
+
+
+def screen_disagreement(plane: np.ndarray, size: int = SCREEN_TILE) -> tuple[float, int]:
+    """(share of tiles whose print screen isn't the page's, tiles measured).
+
+    No tiles count where fewer than two rows or columns fit, or where the tiles' frequencies
+    have no middle that most are near; under four, nothing is told of them.
+    """
+    down, across = plane.shape[0] // size, plane.shape[1] // size
+    if min(down, across) < 2:
+        return 0.0, 0
+    tiles = plane[: down * size, : across * size].reshape(down, size, across, size).swapaxes(1, 2).reshape(-1, size, size)
+    found = np.array([f for f in map(screen_period, tiles) if f is not None])
+    if len(found) < 4:
+        return 0.0, len(found)
+    middle = np.median(found)
+    off = np.abs(found - middle)
+    if middle <= 0 or np.median(off) > 0.5 * middle:
+        return 0.0, 0
+    return float((off > max(2.0, 0.25 * middle)).mean()), len(found)
+
+
+def screen_verdict(plane: np.ndarray) -> tuple[str, float]:
+    """Verdict and confidence of the print-screen check on a grey plane of at most 1,024 pixels a side."""
+    share, tiles = screen_disagreement(plane)
+    if tiles < 4:
+        return "inconclusive", 0.0
+    return ("fail", min(0.9, 0.4 + share)) if share >= SCREEN_SHARE else ("pass", 0.6)
 
 
 def copied_shift(keypoints: np.ndarray, descriptors: np.ndarray, most: int = 32, bucket: int = 8, least: float = 5.0) -> tuple[int, int, int]:

@@ -28,6 +28,29 @@ def signature_signal(state: Column) -> Column:
     return F.when(state.isNull(), "inconclusive").when(state == "AUTHENTIC", "pass").otherwise("fail")
 
 
+def proven_payloads(cases: DataFrame, envelopes: DataFrame, anchors: dict[str, dict], key: str, blob: str = "blob") -> DataFrame:
+    """cases with state, issuer_id and payload of their envelope, each distinct envelope verified once.
+
+    ``envelopes`` has key and blob.  The payload (JSON) is given only if its signature verifies; a
+    case without an envelope has null for all three.  A key that envelopes repeat repeats its cases.
+    """
+    once = envelopes.select(blob).filter(F.col(blob).isNotNull()).distinct()
+    checked = envelope_states(once, anchors, blob)
+    own = envelopes.select(key, blob).join(checked, blob)
+    proven = F.when(F.col("state") == "AUTHENTIC", F.get_json_object(blob, "$.payload"))
+    return cases.join(own.select(key, "state", "issuer_id", proven.alias("payload")), key, "left")
+
+
+def screen_verdicts(plane: Column, width: int) -> Column:
+    """verdict and confidence of the print-screen check; planes are arrays, row by row."""
+    import numpy as np
+
+    def run(batch: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([image.screen_verdict(np.asarray(v, float).reshape(-1, width)) for v in batch], columns=["verdict", "confidence"])
+
+    return F.pandas_udf(run, "verdict string, confidence double")(plane)
+
+
 def exif_verdicts(raw: Column) -> Column:
     return F.pandas_udf(lambda s: s.map(image.exif_verdict), "string")(raw)
 

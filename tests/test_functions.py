@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from attesta.functions import bpe, ed25519, image
 from attesta.functions import checks as C
-from attesta.functions import ed25519, image
 from attesta.functions import mrz as M
 from attesta.functions import scalars as S
 
@@ -152,8 +152,12 @@ def test_planes():
     flat, noisy = np.full((64, 64), 7.0), rng.normal(size=(64, 64))
     assert image.laplacian_variance(flat) == 0 < image.laplacian_variance(noisy)
     assert image.correlation(noisy, noisy) == pytest.approx(1) and image.correlation(flat, noisy) == 0
-    wave = np.sin(np.arange(64) * 2 * np.pi * 6 / 32)[None, :].repeat(64, 0)
-    assert image.screen_disagreement(wave) == 0
+    wave = lambda k: 50 * np.sin(np.arange(384) * 2 * np.pi * k / 128)[None, :].repeat(384, 0)
+    assert image.screen_disagreement(wave(24)) == (0.0, 9) and image.screen_verdict(wave(24)) == ("pass", 0.6)
+    mixed = wave(24)
+    mixed[:, 256:] = wave(48)[:, 256:]
+    assert image.screen_disagreement(mixed) == (pytest.approx(1 / 3), 9) and image.screen_verdict(mixed)[0] == "fail"
+    assert image.screen_verdict(np.zeros((384, 384))) == image.screen_verdict(wave(24)[:128]) == ("inconclusive", 0.0)
     boxes = np.array([[0, 0, 10, 10], [1, 1, 10, 10], [20, 20, 30, 30]], float)
     assert image.suppress(boxes, np.array([0.5, 0.9, 0.4])) == [1, 2]
     points = rng.normal(size=(5, 2))
@@ -164,3 +168,26 @@ def test_planes():
     marks = rng.integers(0, 256, (40, 32), dtype=np.uint8)
     x, y, n = image.copied_shift(np.concatenate([keys, keys + [80, 40]]), np.concatenate([marks, marks]))
     assert (abs(x), abs(y)) == (80, 40) and n == 80
+
+
+MERGES = [(b" ", b"t"), (b"h", b"e"), (b" t", b"he"), (b"i", b"n"), (b"a", b"b"), (b"ab", b"ab")]
+
+
+@pytest.mark.parametrize("text", ["", "the hen in the inn", "ababab abab", "it's 12  \n x\t", "\u00e9\u0939\U0001f600 naive", " " * 7 + "the"])
+def test_pair_encoding(text):
+    from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
+
+    spell = lambda t: "".join(bpe.alphabet()[b] for b in t)
+    coder = bpe.Coder(MERGES)
+    model = Tokenizer(models.BPE({spell(t): i for t, i in coder.ids.items()}, [(spell(a), spell(b)) for a, b in MERGES]))
+    cut = pre_tokenizers.Split(Regex(bpe.PIECES.pattern), "isolated")
+    model.pre_tokenizer = pre_tokenizers.Sequence([cut, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    model.decoder = decoders.ByteLevel()
+    assert coder.encode(text) == model.encode(text).ids
+    assert coder.decode(coder.encode(text)) == text == model.decode(coder.encode(text))
+
+
+def test_pair_encoding_edges():
+    coder = bpe.Coder(MERGES)
+    assert coder.encode(" the") == [256 + 2] and coder.decode([10**6, 0xE9]) == "\ufffd"
+    assert bpe.from_file_form("\u0120t\u010a") == b" t\n" and len(set(bpe.alphabet().values())) == 256
