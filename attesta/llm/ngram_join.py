@@ -27,7 +27,11 @@ How sets meet:
    blocks of its own never meet one another.
    A pair that a tree names must also pass by its parity sketches (each n-gram
    flips one bit), which bound the difference of two sets from below.
-5. Every pair named is checked on the whole sets.
+   A search names the pairs that would tie its components together, so it gives
+   fewer rows than it has sets.
+5. Every pair named is checked on the whole sets.  Where all ties of a group are
+   links, the group is settled.  The others are searched once more, and name all
+   pairs of different components, each in the first of the pair's groups.
 
 The global order needs frequencies, and these come from a sketch of fixed size
 over all documents: it only decides the order, so any error in it costs time and
@@ -175,14 +179,15 @@ def _prefixes(shingle: int, threshold: int, levels: np.ndarray, hot: np.ndarray,
 
 
 def parity(gram: np.ndarray) -> np.ndarray:
-    """A bit field of about two bits an n-gram; each n-gram flips one."""
-    words = 1 << max(0, (len(gram) - 1) // 64).bit_length()
+    """A bit field of about six bits an n-gram; each n-gram flips one."""
+    words = 1 << max(0, (len(gram) - 1) // 16).bit_length()
     bits = np.bincount((gram & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def near_parity(n: np.ndarray, sketches: list[np.ndarray], threshold: int):
-    """A test of which sets may link with a set, as the bits that differ in their parity fields are a part of the n-grams that differ."""
+def parity_room(n: np.ndarray, sketches: list[np.ndarray], threshold: int):
+    """How many more n-grams of a set and others may differ for a link, as the bits that differ in their parity fields are a part
+    of the n-grams that differ; and whether that is well above what n-grams that flip the same bits can hide."""
     width = np.array([len(x) for x in sketches])
     stacks = {w: np.stack([sketches[i] for i in np.flatnonzero(width == w)]) for w in np.unique(width)}
     place = np.zeros(len(sketches), np.int64)
@@ -195,17 +200,24 @@ def near_parity(n: np.ndarray, sketches: list[np.ndarray], threshold: int):
             x = x[..., :half] ^ x[..., half:]
         return x
 
-    def may(others: np.ndarray, one: int) -> np.ndarray:
-        out = np.zeros(len(others), bool)
+    def room(others: np.ndarray, one: int) -> tuple[np.ndarray, np.ndarray]:
+        out, sure = np.zeros(len(others), np.int64), np.zeros(len(others), bool)
         for w in np.unique(width[others]):
             at = np.flatnonzero(width[others] == w)
             to = min(w, width[one])
             gap = np.bitwise_count((folded(stacks[w][place[others[at]]], to) ^ folded(sketches[one], to)).view(np.uint64)).sum(1, dtype=np.int64)
             both = n[others[at]] + n[one]
-            out[at] = gap <= both - 2 * required(both, 0, threshold)
-        return out
+            out[at] = both - 2 * required(both, 0, threshold) - gap
+            sure[at] = out[at] >= 2 + gap * gap // (32 * to)
+        return out, sure
+
+    return room
 
-    return may
+
+def near_parity(n: np.ndarray, sketches: list[np.ndarray], threshold: int):
+    """A test of which sets may link with a set."""
+    room = parity_room(n, sketches, threshold)
+    return lambda others, one: room(others, one)[0] >= 0
 
 
 def _whole(shingle: int, threshold: int, levels: np.ndarray):
@@ -236,13 +248,19 @@ def _lists(batch: pa.RecordBatch | pa.Table, name: str) -> list[np.ndarray]:
 
 
 def _search(threshold: int, forest: bool):
-    """Pairs (leader, print) of a block, or of two blocks of a group."""
+    """Pairs (token, leader, print) of a block, or of two blocks of a group: those that tie components, or else each pair in the first of its groups."""
 
     def run(table: pa.Table) -> pa.Table:
         batch = table.combine_chunks().to_batches()[0]
         own, side, label, n = (batch.column(c).to_numpy() for c in ("print", "side", "component", "n"))
-        i, j = search(_lists(batch, "path"), n, label, side != 1, side != 0, threshold, forest, near_parity(n, _lists(batch, "sketch"), threshold))
-        return pa.table({"leader": pa.array(np.minimum(own[i], own[j])), "print": pa.array(np.maximum(own[i], own[j]))})
+        token = batch.column("token")[0].as_py()
+        i, j = search(_lists(batch, "path"), n, label, side != 1, side != 0, threshold, forest, parity_room(n, _lists(batch, "sketch"), threshold))
+        a, b = np.minimum(own[i], own[j]), np.maximum(own[i], own[j])
+        if not forest:
+            before = [frozenset(x[x < token].tolist()) for x in _lists(batch, "groups")]
+            first = np.array([before[x].isdisjoint(before[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
+            a, b = np.unique(np.stack([a[first], b[first]]), axis=1)
+        return pa.table({"token": pa.array(np.full(len(a), token)), "leader": pa.array(a), "print": pa.array(b)})
 
     return run
 
@@ -280,7 +298,7 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
 
 
-_SEARCHED = "leader long, print long"
+_SEARCHED = "token long, leader long, print long"
 
 
 def _tied(homes: DataFrame, whole: DataFrame, threshold: int) -> DataFrame | None:
@@ -295,7 +313,7 @@ def _tied(homes: DataFrame, whole: DataFrame, threshold: int) -> DataFrame | Non
         dealt = split_join(homes, sizes, ["token"], "c", state["c"]).withColumn("cell", F.pmod(F.xxhash64("print"), F.col("cells")))
         rows = dealt.select("token", "cell", "print", "component", F.lit(2).alias("side")).join(whole.select("print", "n", "path", "sketch"), "print")
         rows = rows.repartition(width(whole.sparkSession), "token", "cell")  # small rows, much work: not to be put together by size
-        pairs = stored(rows.groupBy("token", "cell").applyInArrow(_search(threshold, True), _SEARCHED).distinct(), "pairs")
+        pairs = stored(rows.groupBy("token", "cell").applyInArrow(_search(threshold, True), _SEARCHED).select("leader", "print").distinct(), "pairs")
         more = _verified(pairs, whole, threshold)
         links = more if links is None else stored(links.unionByName(more), "links", [links, more])
         if state["cells"] == 1:
@@ -340,30 +358,50 @@ def _cells(members: DataFrame) -> DataFrame:
     return plain.unionByName(dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "print", "component"))
 
 
-def _open(members: DataFrame, labels: DataFrame | None, total: int) -> DataFrame:
-    """Members of groups that hold several components; of groups with the same members one."""
+def _open(members: DataFrame, labels: DataFrame | None, total: int, only: DataFrame | None = None) -> DataFrame:
+    """Members of groups (all, or those of the tokens in ``only``) that hold several components; of groups with the same members one."""
     named = stored(_labelled(members, labels), "named")
     who = named.groupBy("token").agg(
         F.count("*").alias("c"), F.sum(F.xxhash64("print") % (1 << 40)).alias("who"), F.min("print").alias("lo"), F.max("print").alias("hi"), F.bit_xor(F.xxhash64(F.lit(1), "print")).alias("mixed"),
         F.min("component").alias("one"), F.max("component").alias("other"),
     )
-    once = who.filter("one < other").groupBy("c", "who", "lo", "hi", "mixed").agg(F.min("token").alias("token")).select("token", "c")
+    who = who.filter("one < other")
+    who = who if only is None else who.join(only, "token", "left_semi")
+    once = who.groupBy("c", "who", "lo", "hi", "mixed").agg(F.min("token").alias("token")).select("token", "c")
     return stored(split_join(named, stored(once, "groups"), ["token"], "c", total).drop("c"), "open")
 
 
+def _components(links: DataFrame | None) -> DataFrame | None:
+    return components(links) if links is not None and not links.isEmpty() else None
+
+
+def _named(members: DataFrame, labels: DataFrame | None, whole: DataFrame, threshold: int, forest: bool, only: DataFrame | None = None) -> DataFrame:
+    """Pairs (token, leader, print) that the searches of open groups name."""
+    dealt, held = _cells(_open(members, labels, members.count(), only)), whole.select("print", "n", "path", "sketch")
+    if not forest:
+        dealt = stored(dealt, "dealt")
+        held = held.join(dealt.groupBy("print").agg(F.collect_set("token").alias("groups")), "print")
+    rows = dealt.join(held, "print").repartition(width(whole.sparkSession), "token", "i", "j")  # small rows, much work: not to be put together by size
+    return stored(rows.groupBy("token", "i", "j").applyInArrow(_search(threshold, forest), _SEARCHED), "pairs")
+
+
 def _linked(members: DataFrame, whole: DataFrame, threshold: int) -> DataFrame | None:
     """(node, component) of the classes that links tie, or None without links."""
     ranked = F.array_sort(F.collect_set(F.struct(F.xxhash64("token").alias("h"), "token")))
     homes = members.groupBy("print", "n").agg(F.slice(ranked, 1, HOMES).alias("homes")).select("print", "n", F.explode("homes.token").alias("token"))
     links = _tied(stored(homes.withColumn("component", F.col("print")), "homes"), whole, threshold)
-    labels = components(links) if links is not None and not links.isEmpty() else None
-    rows = _cells(_open(members, labels, members.count())).join(whole.select("print", "n", "path", "sketch"), "print")
-    rows = rows.repartition(width(whole.sparkSession), "token", "i", "j")  # small rows, much work: not to be put together by size
-    pairs = stored(rows.groupBy("token", "i", "j").applyInArrow(_search(threshold, False), _SEARCHED).distinct(), "pairs")
-    rest = _verified(pairs, whole, threshold)
-    if rest.isEmpty():
+    labels = _components(links)
+    ties = _named(members, labels, whole, threshold, True)
+    more = _verified(ties.select("leader", "print").distinct(), whole, threshold)
+    links = more if links is None else links.unionByName(more)
+    # A group whose ties are links all has nothing more to tell; one with another may have left out a link for it.
+    unsettled = stored(ties.join(more.select(F.col("a").alias("leader"), F.col("b").alias("print")), ["leader", "print"], "left_anti").select("token").distinct(), "unsettled")
+    labels = _components(links)
+    if unsettled.isEmpty():
         return labels
-    return components(rest if links is None else links.unionByName(rest))
+    pairs = _named(members, labels, whole, threshold, False, unsettled).select("leader", "print")
+    rest = _verified(pairs, whole, threshold)
+    return labels if rest.isEmpty() else components(links.unionByName(rest))
 
 
 def _classes(spark: SparkSession, counts: np.ndarray, classes: DataFrame, texts: DataFrame, shingle: int, threshold: int) -> DataFrame | None:

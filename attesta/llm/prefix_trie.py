@@ -14,6 +14,7 @@ from collections.abc import Callable
 import numpy as np
 
 LAST = np.int32(2**31 - 1)
+MOST_WAITING = 1 << 18  # doubtful pairs that a search keeps before it drops those tied meanwhile
 
 
 def required(n: np.ndarray | int, m: np.ndarray | int, threshold: int) -> np.ndarray | int:
@@ -48,7 +49,17 @@ def neighbours(paths: list[np.ndarray], order: list[int]) -> np.ndarray:
     return out
 
 
-def search(paths: list[np.ndarray], sizes: np.ndarray, label: np.ndarray, asks: np.ndarray, held: np.ndarray, threshold: int, forest: bool, may: Callable[[np.ndarray, int], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _apart(pairs: list[tuple[np.ndarray, ...]], components: Forest) -> tuple[np.ndarray, ...]:
+    """The pairs (query, set, room) whose components are still different, for any two components the one with the most room."""
+    near, one, left = map(np.concatenate, zip(*pairs, strict=True))
+    x, y = components.label[near], components.label[one]
+    other = np.flatnonzero(x != y)
+    other = other[np.argsort(-left[other], kind="stable")]
+    first = np.unique(np.minimum(x, y)[other] * len(components.label) + np.maximum(x, y)[other], return_index=True)[1]
+    return near[other[first]], one[other[first]], left[other[first]]
+
+
+def search(paths: list[np.ndarray], sizes: np.ndarray, label: np.ndarray, asks: np.ndarray, held: np.ndarray, threshold: int, forest: bool, room: Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, set) of different components that may link.
 
     ``paths`` are the beginnings of globally ordered sets of ``sizes`` tokens; the
@@ -56,9 +67,11 @@ def search(paths: list[np.ndarray], sizes: np.ndarray, label: np.ndarray, asks:
     queries.  A pair is left out only if its overlap can't reach what a link
     needs: sets of unequal size, or too few common tokens in what was read to
     make it up in what remains of the shorter side.  A subtree that lies in the
-    query's own component is left.  At a path's end, ``may`` can tell which of the
-queries left aren't ruled out by a bound of its own.  With ``forest``, pairs count as links at once
-    and only those that unite components are returned.
+    query's own component is left.  At a path's end, ``room`` can tell by a bound of
+    its own how far each query left is from being ruled out (below 0: it is), and
+    whether a link is as good as sure.  With ``forest``, pairs count as links, the
+    sure ones at once and the others at the end, nearest first, and only those that
+    unite components are returned.
     """
     none = np.zeros(0, np.int64)
     ids = np.flatnonzero(held)
@@ -80,6 +93,7 @@ queries left aren't ruled out by a bound of its own.  With ``forest``, pairs cou
     last = np.array([LAST if len(paths[q]) == s else (paths[q][-1] if len(paths[q]) else -1) for q, s in zip(queries, n, strict=True)])
     components = Forest(label)
     a, b = [], []
+    doubtful, waiting = [], 0
     stack = [(0, len(order), 0, np.arange(len(queries)), np.zeros(len(queries), np.int64))]
     while stack:
         lo, hi, depth, alive, overlap = stack.pop()
@@ -108,14 +122,27 @@ queries left aren't ruled out by a bound of its own.  With ``forest``, pairs cou
             fits = (100 * m >= threshold * n[alive]) & (100 * n[alive] >= threshold * m) & (overlap + m - end >= required(n[alive], m, threshold))
             near = queries[alive[fits]]
             near = near[components.label[near] != components.label[one]]
-            if may is not None and len(near):
-                near = near[may(near, one)]
+            if room is not None and len(near):
+                left, sure = room(near, one)
+                if forest and (later := (left >= 0) & ~sure).any():
+                    doubtful.append((near[later], np.full(later.sum(), one), left[later]))
+                    waiting += int(later.sum())
+                near = near[sure if forest else left >= 0]
             if len(near):
                 if forest:
                     near = components.tie(one, near)
                 a.append(near)
                 b.append(np.full(len(near), one))
             ends += 1
+        if waiting > MOST_WAITING:
+            doubtful, waiting = [_apart(doubtful, components)], 0
         cuts = [ends, *(np.flatnonzero(common[ends + 1 : hi] == end) + ends + 1).tolist(), hi] if ends < hi else []
         stack += [(i, j, end, alive, overlap) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    if doubtful:
+        near, one, left = _apart(doubtful, components)
+        for k in np.argsort(-left, kind="stable").tolist():
+            if components.label[one[k]] != components.label[near[k]]:
+                components.tie(int(one[k]), near[k : k + 1])
+                a.append(near[k : k + 1])
+                b.append(one[k : k + 1])
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)

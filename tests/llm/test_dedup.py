@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from attesta.llm import line_dedup, ngram_join, store, substring_dedup, suffix_tree
+from attesta.llm import line_dedup, ngram_join, prefix_trie, store, substring_dedup, suffix_tree
 from attesta.llm import textscan as ts
 from attesta.llm.components import components
 from attesta.llm.prefix_trie import Forest, search
@@ -229,6 +229,52 @@ def test_large_groups_with_stragglers(docs, monkeypatch):
     assert sorted(map(tuple, ngram_join.ngram_components(docs(rows), 3, 60).collect())) == sorted(brute.components(rows, 3, 60))
 
 
+def test_pairs_named_grow_with_the_sets(docs, monkeypatch):
+    """Near copies about the bound: the searches name fewer pairs than there are sets, not one for each two sets or n-grams."""
+    rng = random.Random(31)
+    base = [f"v{k}" for k in range(400)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for k in rng.sample(range(400), rng.randrange(3, 9)):
+            w[k] = f"x{rng.randrange(300)}"
+        rows.append((i, " ".join(w)))
+    named, verified = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "HOMES", 1)
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, *more: (named.append(pairs.count()), verified(pairs, *more))[1])
+    assert sorted(map(tuple, ngram_join.ngram_components(docs(rows)).collect())) == sorted(brute.components(rows))
+    assert len(named) > 1 and sum(named) < 2 * len(rows)
+
+
+def test_each_pair_in_its_first_group():
+    path = np.arange(12, dtype=np.int32)
+    sketch = ngram_join.parity(np.arange(40, dtype=np.uint64)).tolist()
+
+    def named(token, groups):
+        table = pa.table({"print": [5, 9], "n": [40, 40], "component": [5, 9], "side": pa.array([2, 2], pa.int32()), "token": [token] * 2, "path": [path.tolist()] * 2, "sketch": [sketch] * 2, "groups": pa.array(groups, pa.list_(pa.int64()))})
+        return ngram_join._search(90, False)(table).to_pylist()
+
+    assert named(3, [[1, 7, 3], [3, 7, 2]]) == [{"token": 3, "leader": 5, "print": 9}]
+    assert named(7, [[1, 7, 3], [3, 7, 2]]) == []
+
+
+@pytest.mark.parametrize("most", [1, 1 << 18])
+def test_forest_ties_nearest_of_the_doubtful(monkeypatch, most):
+    """Sure pairs tie at once; of the others those with the most room, whatever their order."""
+    monkeypatch.setattr(prefix_trie, "MOST_WAITING", most)
+    rng = np.random.default_rng(5)
+    space = rng.integers(-2, 30, (12, 12))
+    space = np.maximum(space, space.T)
+    paths, size, every = [np.arange(5, dtype=np.int32)] * 12, np.full(12, 5), np.ones(12, bool)
+    i, j = search(paths, size, np.arange(12), every, every, 90, True, lambda others, one: (space[others, one], space[others, one] > 25))
+    got = sorted(int(x) for x in space[i, j] if x <= 25)
+    tree, want = Forest(np.arange(12)), []
+    for x, y in sorted(((x, y) for x in range(12) for y in range(x)), key=lambda p: -space[p]):
+        if space[x, y] >= 0 and len(tree.tie(x, np.array([y]))) and space[x, y] <= 25:
+            want.append(int(space[x, y]))
+    assert got == sorted(want) and len(i) == 11
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_split_join(spark, monkeypatch, how):
     monkeypatch.setattr(store, "HOT_KEYS", 4)
