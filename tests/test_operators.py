@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +158,18 @@ def test_registered_checks(spark):
         D.register_check("custom.check", lambda: one(F.lit("pass")))
     got = D.run_checks(spark.createDataFrame([(1,), (2,)], "x int")).select("x", "signal.verdict").collect()
     assert {tuple(r) for r in got} == {(1, "fail"), (2, "pass")}
+
+
+def test_score_quantiles(spark):
+    """Exact quantiles from counts: ties, a zero vector, no probes."""
+    rng = np.random.default_rng(2)
+    rows = [(i, int(rng.integers(0, 3)), [float(x) for x in rng.integers(-3, 4, 4)]) for i in range(60)] + [(60, 1, [0.0] * 4)]
+    vectors = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    probes = vectors.filter("vec_id % 20 = 0")
+    shares = {"low": 0.05, "mid": 0.5, "high": 0.95, "last": 1.0}
+    scored = J.pair_scores(probes, vectors).withColumn("score", F.round("score", 9))
+    want = scored.groupBy("genuine").agg(*(F.percentile("score", F.lit(q)).alias(n) for n, q in shares.items())).collect()
+    got = {r["genuine"]: list(r)[1:] for r in J.score_quantiles(probes, vectors, shares).collect()}
+    assert got == {r["genuine"]: pytest.approx(list(r)[1:], abs=2e-9) for r in want} and len(got) == 2
+    assert J.score_quantiles(probes.limit(0), vectors, shares).count() == 0
+    assert J.score_counts(probes, vectors).groupBy("genuine").agg(F.sum("n").alias("n")).orderBy("n").collect() == scored.groupBy("genuine").agg(F.count("*").alias("n")).orderBy("n").collect()
