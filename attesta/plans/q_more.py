@@ -154,8 +154,7 @@ def p57(t: Tables) -> DataFrame:
 def j5(t: Tables) -> DataFrame:
     """Reads that overlap a field's box; the first of them keeps it."""
     own = t.boxes.select("image_id", "box_id", "class", "ordinal", "x1", "y1", "x2", "y2")
-    pairs = J.overlaps(own, own, ["image_id", "class"], 0.10).filter("a_box_id <> b_box_id")
-    return pairs.groupBy(F.col("b_box_id").alias("field_id")).agg(F.min_by("a_box_id", F.struct("a_ordinal", "a_box_id")).alias("read_id"))
+    return J.best_partners(own, ["image_id", "class"], 0.10, False).select(F.col("box_id").alias("field_id"), F.col("other_id").alias("read_id"))
 
 
 @query("J14_other_sessions", "SELECT a.event_id, count(*) AS n FROM crossings a JOIN crossings b ON a.user_id = b.user_id AND a.post_id <> b.post_id GROUP BY a.event_id")

@@ -183,3 +183,30 @@ def test_equal_planes_are_measured_once(spark, tmp_path):
     assert out.count() == 200 and out.select("id").distinct().count() == 200
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("ArrowEvalPython") < plan.index("Aggregate [")
+
+
+@pytest.mark.parametrize(("nearest", "least"), [(True, 0.3), (False, 0.1)])
+def test_best_partners(spark, monkeypatch, nearest, least):
+    """Copies, boxes that only touch, empty and open ones, odd keys; a tile over several tasks; no pair of boxes is a row."""
+    monkeypatch.setattr(J, "TILE_PLACES", 16)
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(300):
+        x, y = (float(v) for v in rng.integers(-4, 12, 2) * 10)
+        w, h = (float(v) for v in rng.integers(0, 5, 2) * 15 + rng.integers(0, 2) * 0.1)
+        rows.append((int(rng.integers(0, 2)) if i % 40 else None, i, "ab"[i % 2], int(rng.integers(0, 4)), x, y, x + w if i % 50 else None, y + h if i % 70 else y - 5))
+    boxes = spark.createDataFrame(rows + [(0, 1000, "a", 9, -500.0, -500.0, 900.0, 900.0)], "image_id int, box_id long, class string, ordinal int, x1 double, y1 double, x2 double, y2 double")
+    rows = [tuple(r) for r in boxes.collect()]
+
+    def iou(p, q):
+        w, h = min(p[6], q[6]) - max(p[4], q[4]), min(p[7], q[7]) - max(p[5], q[5])
+        return w * h / ((p[6] - p[4]) * (p[7] - p[5]) + (q[6] - q[4]) * (q[7] - q[5]) - w * h) if w > 0 and h > 0 else 0.0
+
+    want = {}
+    for p in rows:
+        met = [(-round(iou(p, q), 9) if nearest else 0, q[3], q[1], q[2]) for q in rows if p[1] != q[1] and p[0] == q[0] and None not in (p[0], p[6], q[6]) and iou(p, q) > least]
+        if met:
+            want[p[1]] = min(met)[2:]
+    found = J.best_partners(boxes, ["image_id"], least, nearest)
+    got = found.collect()
+    assert {r["box_id"]: (r["other_id"], r["other_class"]) for r in got} == want and len(got) == len(want) > 100
