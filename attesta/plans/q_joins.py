@@ -34,8 +34,7 @@ def _sides(t: Tables) -> tuple[DataFrame, DataFrame]:
 def j4(t: Tables) -> DataFrame:
     """Spatial join: the field whose box a region overlaps most, above 0.30."""
     own = t.boxes.select("image_id", "box_id", "class", "ordinal", "x1", "y1", "x2", "y2")
-    pairs = J.overlaps(own, own, ["image_id"], 0.30).filter("a_box_id <> b_box_id").withColumn("iou", F.round("iou", 9))
-    return J.best_box(pairs, ["a_box_id"]).select(F.col("a_box_id").alias("region_id"), F.col("b_class").alias("field"))
+    return J.best_partners(own, ["image_id"], 0.30, True).select(F.col("box_id").alias("region_id"), F.col("other_class").alias("field"))
 
 
 @query("J6_detector_recall", f"SELECT a.class, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM boxes b WHERE b.image_id % 10 = a.image_id % 10 AND b.class = a.class AND b.box_id % 2 = 1 AND {_IOU} >= 0.5)) AS found FROM boxes a WHERE a.box_id % 2 = 0 GROUP BY a.class")
