@@ -271,6 +271,91 @@ def test_word_hashes():
     assert D.word_hashes(chunk).tolist() == D.hash_list(D.words_of(text)).tolist()
 
 
+def test_hashes_of_words_of_all_lengths():
+    """Punctuation at the ends only, words of 0 to 130 bytes at any place, NUL bytes: equal hashes for equal words alone."""
+    import pyarrow as pa
+
+    from attesta.llm import textscan as ts
+
+    words = [c * n for c in ("a", "é", "\0", "x.") for n in range(1, 21)] + ["(a)", "a", "..", "!?", '"a.b"', "A" * 8, "A" * 9, "a" * 8 + "b", "a" * 16 + "b", "a" * 15 + "b", *("a" * n + "b" for n in (62, 63, 64, 65, 129)), *("c" + "a" * n for n in (62, 63, 64, 129))]
+    for pad in ("", "z ", "zz,\t"):
+        for chunk in ts.scan(pa.array([None, pad + " ".join(words), "", words[-1]]), lower=True):
+            own = D.words_of(pad) + D.words_of(" ".join(words)) + [words[-1]]
+            got = D.word_hashes(chunk).tolist()
+            assert got == D.hash_list(own).tolist()
+            assert len(set(got)) == len(set(own))
+
+
+def test_rows_by_pairs():
+    """Counts of pairs give the rows' product with a matrix and back, as the rows themselves do."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    for words, docs in ((1, 3), (7, 40), (600, 60), (600, 0)):
+        places, terms = [], []
+        for _ in range(docs):
+            own = np.flatnonzero(rng.random(rng.integers(1, 300)) < 0.3)
+            places.append(own.tolist())
+            terms.append(rng.integers(0, words, len(own)).tolist())
+        batch = pa.RecordBatch.from_arrays([pa.array(range(docs), pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(terms, pa.list_(pa.int32()))], ["key", "places", "terms"])
+        own = np.arange(words)
+        own[3::5] = -1  # words of another block of items
+        want, dense = np.zeros((words, 6)), rng.normal(size=(words, 6)).astype(np.float32)
+        for p, t in zip(places, terms, strict=True):
+            blocks = np.zeros((1 + max([x // D.BLOCK for x, y in zip(p, t, strict=True) if own[y] >= 0], default=-1), words))
+            for x, y in zip(p, t, strict=True):
+                if own[y] >= 0:
+                    blocks[x // D.BLOCK, y] += 1
+            for b in range(len(blocks)):
+                row = blocks[b : b + 2].sum(0)
+                want += np.outer(row, row @ dense)
+        for form in (D._by_pairs, D._by_rows):
+            assert np.allclose(form(iter([batch, batch.slice(0, 0)]), dense, own), want, rtol=1e-4, atol=1e-2)
+
+
+def test_null_text_beside_a_match(spark):
+    """A document that holds an item, and a row without text that repeats its doc_id."""
+    items = benchmark(random.Random(31), 3)
+    docs = spark.createDataFrame([(1, items[0][1]), (1, None), (2, "none of it")], "doc_id long, text string")
+    assert [(r["doc_id"], r["items"]) for r in D.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()] == [(1, "0")]
+
+
+def test_cost_of_a_text():
+    """What tasks do with a text costs a bounded multiple of finding its words."""
+    import time
+
+    import pyarrow as pa
+
+    from attesta.llm import textscan as ts
+
+    rng = np.random.default_rng(5)
+    some = np.array([f"word{k}" for k in range(40_000)])
+    draw = lambda n: " ".join(some[(40_000 * rng.random(n) ** 3).astype(int)])
+    items = [(k, draw(int(rng.integers(15, 60)))) for k in range(200)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(500), pa.int64()), pa.array([draw(int(n)) for n in rng.integers(20, 1000, 500)])], ["key", "text"]) for _ in range(4)]
+    frequency = np.concatenate([np.asarray(b["total"][0].values) for b in D._frequencies(iter(batches))])
+    query = D.make_query(items, frequency)
+    hits, own = list(D._find(query.hashes, query.least)(iter(batches))), query.own(query.hashes)
+    vectors = np.linalg.svd(query.rows, full_matrices=False)[2].T.astype(np.float32)
+    basis = rng.normal(size=(len(query.hashes), D.RANK)).astype(np.float32)
+
+    def cost(*runs):
+        """CPU seconds, the least of five."""
+        took = []
+        for _ in range(5):
+            began = time.thread_time()
+            for run in runs:
+                list(run())
+            took.append(time.thread_time() - began)
+        return min(took)
+
+    base = cost(lambda: (c for b in batches for c in ts.scan(b["text"], lower=True)))
+    reading = cost(lambda: D._frequencies(iter(batches)), lambda: D._find(query.hashes, query.least)(iter(batches)))
+    turn = cost(lambda: D._gram(query, basis, own)(iter(hits)))
+    search = cost(lambda: D._search(query, vectors, own)(iter(hits)))
+    assert reading + 2 * turn + search < 16 * base  # measured: 9 times, and 27 with np.unique, hashes from every byte and row by row
+
+
 def test_singular_vectors(spark):
     """The latent space holds the benchmark's own passages nearly whole."""
     rng = random.Random(9)
