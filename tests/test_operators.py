@@ -3,6 +3,8 @@
 import datetime as dt
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from attesta.operators import documents as D
 from attesta.operators import fusion as X
 from attesta.operators import joins as J
 from attesta.operators import stats as Z
+from attesta.plans import catalogue
 from attesta.plans import rules as R
 from attesta.streaming import sessions as T
 
@@ -210,3 +213,42 @@ def test_best_partners(spark, monkeypatch, nearest, least):
     found = J.best_partners(boxes, ["image_id"], least, nearest)
     got = found.collect()
     assert {r["box_id"]: (r["other_id"], r["other_class"]) for r in got} == want and len(got) == len(want) > 100
+
+
+def quantiles_of_all_pairs(rows, shares):
+    """genuine: quantiles of the scores of all ordered pairs with different ids, by a plain loop."""
+    found = {}
+    for i, a, v in rows:
+        for j, b, w in rows:
+            if i is not None and j is not None and i != j:
+                x, y = np.array(v, float), np.array(w, float)
+                genuine = None if a is None or b is None else a == b
+                found.setdefault(genuine, []).append(round(float(x @ y / np.sqrt(x @ x) / np.sqrt(y @ y)), 9))
+    return {g: [float(np.quantile(s, q)) for q in shares] for g, s in found.items()}
+
+
+def test_score_quantiles_of_all_pairs(spark, monkeypatch):
+    """The stored frame as probes: several blocks and rounds, an id twice, missing ids and labels, equal vectors."""
+    monkeypatch.setattr(J, "BLOCK_PROBES", 16)
+    monkeypatch.setattr(J, "SENT_BLOCKS", 2)
+    rng = np.random.default_rng(5)
+    rows = [(i, int(rng.integers(0, 3)), rng.normal(size=4).tolist()) for i in range(90)]
+    rows += [(7, 1, [1.0, 2.0, 0.0, 1.0]), (None, 1, [1.0, 0.0, 0.0, 0.0]), (90, None, [0.0, 1.0, 0.0, 2.0]), *((100 + i, 2, [1.0, 1.0, 0.0, 0.0]) for i in range(20))]
+    vectors = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    shares = {"first": 0.0, "low": 0.05, "mid": 0.5, "high": 0.95, "last": 1.0}
+    got = {r["genuine"]: list(r)[1:] for r in J.score_quantiles(vectors, vectors, shares).collect()}
+    want = quantiles_of_all_pairs(rows, shares.values())
+    assert set(want) == {False, True, None}
+    assert got == {g: pytest.approx(x, abs=2e-9) for g, x in want.items()}
+    twice = spark.createDataFrame(rows, vectors.schema)
+    assert sorted(map(tuple, J.score_counts(vectors, vectors).collect()), key=str) == sorted(map(tuple, J.score_counts(vectors, twice).collect()), key=str)
+
+
+def test_a22_takes_every_vector_as_probe(spark, tmp_path):
+    """No id is divisible by 20: the query set of a twentieth would be empty."""
+    rng = np.random.default_rng(6)
+    rows = [(i, i % 3, rng.normal(size=8).astype(np.float32).tolist()) for i in range(1, 80) if i % 20]
+    table = pa.table({"vec_id": [r[0] for r in rows], "label": pa.array([r[1] for r in rows], pa.int32()), "embedding": pa.array([r[2] for r in rows], pa.list_(pa.float32()))})
+    pq.write_table(table, tmp_path / "embeddings.parquet")
+    got = {r["genuine"]: [r["p05"], r["median"], r["p95"]] for r in catalogue.QUERIES["A22_score_quantiles"](spark, str(tmp_path)).collect()}
+    assert got == {g: pytest.approx(x, abs=2e-6) for g, x in quantiles_of_all_pairs(rows, (0.05, 0.5, 0.95)).items()} and len(got) == 2
